@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 U64 = np.uint64
 
 
@@ -48,7 +50,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once: rows, and bytes where Spark has such a limit."""
+    """Bound what a Python worker holds at once, by rows and bytes, and ship this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -172,3 +175,51 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.Table | pa.Reco
                 yield out
 
     return df.mapInArrow(each, schema)
+
+
+def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a zero byte before and after each, so that none touches its neighbour."""
+    n = len(offsets) - 1
+    out = np.zeros(len(raw) + n + 1, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = raw
+    return out, offsets + np.arange(n + 1) + 1
+
+
+def bounded_sample(rows: DataFrame, documents: DataFrame, most: int, most_bytes: int) -> list:
+    """At most ``most`` labelled rows with their whole texts, for fitting a model on the driver.
+
+    ``rows`` has a ``doc_id`` and labels.  The rows of least id hash are taken, among
+    texts of at most ``most_bytes``; both bounds are parameters of the models.  The
+    rows come in an order that depends on ids and texts alone.
+    """
+    docs = documents.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = rows.filter(F.col("doc_id").isNotNull()).orderBy(*order, *[c for c in rows.columns if c != "doc_id"]).limit(most)
+    found = docs.join(F.broadcast(ids), "doc_id").collect()
+    return sorted(found, key=lambda r: (hash_id(r["doc_id"]), r["doc_id"], r["text"]))[:most]
+
+
+def hash_id(doc_id: int) -> int:
+    return int(fmix(np.array([doc_id], np.int64).view(U64))[0])
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def without_near_copies(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that share neither of two least 5-word shingles with an earlier text.
+
+    For samples only: copies of one text would make its rare words look like evidence.
+    """
+    h, _, _, at = words_of(raw, offsets)
+    g, gat = grams(h, at, 5)
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for i in range(len(offsets) - 1):
+        own = g[gat[i] : gat[i + 1]]
+        keys = {(s, int((own * U64(m)).min())) for s, m in enumerate((1, 0x9FB21C651E98DF25))} if len(own) else set()
+        if not keys & seen:
+            keep.append(i)
+        seen |= keys
+    return np.array(keep, np.int64)
