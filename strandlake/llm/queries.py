@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, quality, toxicity, urls
+from . import decontam, langid, lines, media, pieces, quality, toxicity, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op4_sentencepiece, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op10_quality)}
 
 ORACLE = {
     "op1_line_dedup": r"""
