@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, pieces, quality, toxicity, urls
+from . import decontam, langid, lines, media, neardup, pieces, quality, toxicity, urls
 from .common import table
 
 
@@ -39,11 +39,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op4_sentencepiece, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op4_sentencepiece, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op9_near_duplicates, op10_quality)}
 
 ORACLE = {
     "op1_line_dedup": r"""
