@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, media, neardup, pieces, quality, toxicity, urls
+from . import decontam, langid, lines, media, neardup, pieces, quality, suffixes, toxicity, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op4_sentencepiece, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op9_near_duplicates, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_suffix_dedup, op4_sentencepiece, op5_media, op6_toxicity, op7_url_filter, op8_language_id, op9_near_duplicates, op10_quality)}
 
 ORACLE = {
     "op1_line_dedup": r"""
