@@ -8,8 +8,10 @@ the text itself is such a character, so decoding gives back every text exactly.)
 
 N-best search.  Forward Viterbi gives the best score of reaching each place.  Backward
 A* from the end uses it as an exact estimate of what is still to come, so it pops only
-prefixes of answers, best first.  Scores are added as integers and each edge adds a
-hash far below one unit, so equal scores are ordered the same way everywhere.
+prefixes of answers, best first.  Scores are added as whole numbers (in doubles, exactly)
+and each edge adds a hash far below one unit of score, so equal scores are ordered the
+same way everywhere.  Stored scores at or below -1e8, which mark pieces that are never
+merged to, count as twice the lowest other.
 
 No piece holds a space mark behind another character or goes on after the end of a word
 (this is looked up in the vocabulary, not assumed), and many characters occur in no longer
@@ -40,35 +42,38 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, small_batches
 
-MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 400_000
+MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 700_000
 SPACE, OWN = "▁", "\udc81"  # OWN stands for a U+2581 of the text; no valid text holds it
-_UNIT, _LOW = 1 << 32, (1 << 18) - 1  # one thousandth of a point; an edge's hash
-_NONE, _ALONE = (None, None), 1 << 200  # the loss where there is no second path
+_UNIT, _LOW, _PLACES = 1 << 18, (1 << 12) - 1, 16  # a point of score; an edge's hash, by its place modulo 16
+_NONE, _ALONE = (None, None, None), float("inf")  # the loss where there is no second path
 
 
 class Vocabulary:
     """Pieces, their ids and scores; what byte pieces and pieces decode to."""
 
     def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: dict[int, int], size: int, unknown: float = 10.0):
-        self.edges: dict[str, tuple[int, int, bytes]] = {}
+        self.edges: dict[str, tuple[list[float], bytes]] = {}
         self.spell = [b""] * size
         self.byte_ids = byte_ids
         for b, i in byte_ids.items():
             self.spell[i] = bytes([b])
+        lowest = min((s for _, _, s in pieces if s > -1e8), default=0.0)
         for text, i, score in pieces:
-            self.edges[text] = (*self.weight(score, i), i.to_bytes(4, "little"))
+            self.edges[text] = self.weights(score if score > -1e8 else 2 * lowest, i), i.to_bytes(4, "little")
             self.spell[i] = text.replace(SPACE, " ").encode()
-        ones = [s for t, _, s in pieces if len(t) == 1]
-        self.lowest = (min(ones) if ones else 0.0) - unknown
+        self.lowest = lowest - unknown
         longer = [t for t, _, _ in pieces if len(t) > 1]
-        # A tree over characters: (deeper node or None, the piece that ends here or None).
-        self.tree: dict[str, list] = {}
-        for text, piece in self.edges.items():
+        # A tree over characters: (deeper node, weights and ids of the piece that ends here), or None for each.
+        self.tree: dict[str, tuple] = {}
+        for text, piece in sorted(self.edges.items()):
             node = self.tree
             for c in text[:-1]:
-                step = node.setdefault(c, [None, None])
-                step[0] = node = step[0] if step[0] is not None else {}
-            node.setdefault(text[-1], [None, None])[1] = piece
+                deeper, *own = node.get(c, _NONE)
+                if deeper is None:
+                    deeper = {}
+                    node[c] = (deeper, *own)
+                node = deeper
+            node[text[-1]] = (node.get(text[-1], _NONE)[0], *piece)
         inner = {c for t in longer for c in t} | {SPACE}
         of = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]" if chars else "(?!)"
         letters = {c for c in inner if c.isalpha()}
@@ -82,18 +87,19 @@ class Vocabulary:
         self.chunks = re.compile(pattern, re.DOTALL)
 
     @staticmethod
-    def weight(score: float, i: int) -> tuple[int, int]:
-        """The score as an integer, and a hash that orders equal scores."""
-        return round(score * 1000) * _UNIT, (i * 0x9E3779B1 ^ 0x5BD1E995) * 0x85EBCA6B >> 7 & 0xFFFFFFFF
+    def weights(score: float, i: int) -> list[float]:
+        """The score as a whole number with a hash that orders equal scores, by place."""
+        h = (i * 0x9E3779B1 ^ 0x5BD1E995) * 0x85EBCA6B >> 7
+        return [float(round(score * 64) * (_UNIT // 64) + (h * (2 * p + 1) >> 5 & _LOW)) for p in range(_PLACES)]
 
-    def edge(self, text: str, at: int = 0) -> tuple[int, bytes] | None:
+    def edge(self, text: str, at: int = 0) -> tuple[float, bytes] | None:
         """Weight and ids of a piece, or of a character that is none, at a place of its chunk."""
         found = self.edges.get(text)
         if found is None and len(text) == 1:
             raw = (SPACE if text == OWN else text).encode("utf-8", "surrogatepass")
             ids = [self.byte_ids[b] for b in raw] if self.byte_ids else [0]
-            found = *self.weight(self.lowest, ids[-1]), b"".join(i.to_bytes(4, "little") for i in ids)
-        return found and (found[0] + (found[1] * (2 * at + 1) & _LOW), found[2])
+            found = self.weights(self.lowest, ids[-1]), b"".join(i.to_bytes(4, "little") for i in ids)
+        return found and (found[0][at % _PLACES], found[1])
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -107,36 +113,36 @@ def load(model: str = MODEL) -> Vocabulary:
     return Vocabulary(plain, byte_ids, len(ids))
 
 
-def lattice(v: Vocabulary, chunk: str) -> list[list[tuple[int, int, bytes]]]:
+def lattice(v: Vocabulary, chunk: str) -> list[list[tuple[int, float, bytes]]]:
     """For each end: (start, weight, ids) of the edges that arrive there."""
     n = len(chunk)
-    into: list[list[tuple[int, int, bytes]]] = [[] for _ in range(n + 1)]
+    into: list[list[tuple[int, float, bytes]]] = [[] for _ in range(n + 1)]
     for a in range(n):
         into[a + 1].append((a, *v.edge(chunk[a], a)))
-        node = v.tree.get(chunk[a], (None, None))[0]
+        node = v.tree.get(chunk[a], _NONE)[0]
         z = a + 1
         while node is not None and z < n:
-            node, piece = node.get(chunk[z], (None, None))
+            node, weights, ids = node.get(chunk[z], _NONE)
             z += 1
-            if piece is not None:
-                into[z].append((a, piece[0] + (piece[1] * (2 * a + 1) & _LOW), piece[2]))
+            if weights is not None:
+                into[z].append((a, weights[a % _PLACES], ids))
     return into
 
 
-def forward(into: list[list[tuple[int, int, bytes]]]) -> list[int]:
+def forward(into: list[list[tuple[int, float, bytes]]]) -> list[float]:
     """Viterbi: the best weight of reaching each place."""
-    best = [0] * len(into)
+    best = [0.0] * len(into)
     for z in range(1, len(into)):
         best[z] = max([best[a] + w for a, w, _ in into[z]])
     return best
 
 
-def n_best(v: Vocabulary, chunk: str, n: int) -> list[tuple[int, bytes]]:
+def n_best(v: Vocabulary, chunk: str, n: int) -> list[tuple[float, bytes]]:
     """Weights and ids of the n best paths: backward A* under the forward Viterbi weights."""
     into = lattice(v, chunk)
     best = forward(into)
     tick, out = count(), []
-    heap = [(-best[-1], next(tick), len(chunk), 0, None)]
+    heap = [(-best[-1], next(tick), len(chunk), 0.0, None)]
     while heap and len(out) < n:
         total, _, at, behind, path = heapq.heappop(heap)
         if at == 0:
@@ -151,69 +157,65 @@ def n_best(v: Vocabulary, chunk: str, n: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def best_and_loss(v: Vocabulary, chunk: str) -> tuple[int, bytes, int]:
+def best_and_loss(v: Vocabulary, chunk: str) -> tuple[float, bytes, float]:
     """Weight and ids of the best path, and what the second best loses; _ALONE if there is none.
 
     The forward pass alone, with the two best weights of reaching each place.
     """
     n, root = len(chunk), v.tree
-    best: list = [None] * (n + 1)
-    second: list = [None] * (n + 1)
-    back: list = [None] * (n + 1)
-    best[0] = 0
+    best, second, back = [-_ALONE] * (n + 1), [-_ALONE] * (n + 1), [(0, b"")] * (n + 1)
+    best[0] = 0.0
     for a in range(n):
-        here, next_, odd, z = best[a], second[a], 2 * a + 1, a
-        node, piece = root.get(chunk[a], _NONE)
-        if piece is None:  # a character that is no piece, but may begin one
+        here, next_, place, z = best[a], second[a], a % _PLACES, a
+        node, weights, ids = root.get(chunk[a], _NONE)
+        if weights is None:  # a character that is no piece, but may begin one
             w, ids = v.edge(chunk[a], a)
-        else:
-            w, ids = piece[0] + (piece[1] * odd & _LOW), piece[2]
+            weights = [w] * _PLACES
         while True:
             z += 1
-            if w is not None:
+            if weights is not None:
+                w = weights[place]
                 value, old = here + w, best[z]
-                if old is None or value > old:
+                if value > old:
                     best[z], back[z] = value, (a, ids)
-                    other = None if next_ is None else next_ + w
-                    second[z] = other if old is None or (other is not None and other > old) else old
-                elif second[z] is None or value > second[z]:
+                    w += next_
+                    second[z] = old if old > w else w
+                elif value > second[z]:
                     second[z] = value
             if node is None or z == n:
                 break
-            node, piece = node.get(chunk[z], _NONE)
-            if piece is not None:
-                w, ids = piece[0] + (piece[1] * odd & _LOW), piece[2]
-            elif node is None:
-                break
-            else:
-                w = None
+            node, weights, ids = node.get(chunk[z], _NONE)
     ids_back, at = [], n
     while at:
         at, ids = back[at]
         ids_back.append(ids)
-    return best[n], b"".join(reversed(ids_back)), _ALONE if second[n] is None else best[n] - second[n]
+    return best[n], b"".join(reversed(ids_back)), best[n] - second[n]
+
+
+class Cache(dict):
+    """Best paths of chunks.  Two generations: what wasn't asked for while half of ``most``
+    others were is forgotten."""
+
+    def __init__(self, v: Vocabulary, older: dict):
+        self.v, self.older = v, older
+
+    def __missing__(self, chunk: str) -> tuple[float, bytes, float]:
+        found = self.older.get(chunk) or best_and_loss(self.v, chunk)
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
 
 
 class Encoder:
     def __init__(self, v: Vocabulary, n: int = BEST, cache: int = CACHE):
         self.v, self.n, self.most = v, n, cache
-        self.cache: dict[str, tuple[int, bytes, int]] = {}
-        self.older: dict[str, tuple[int, bytes, int]] = {}
-        self.alternatives: dict[str, list[tuple[int, bytes]]] = {}
+        self.cache = Cache(v, {})
+        self.alternatives: dict[str, list[tuple[float, bytes]]] = {}
 
     def __reduce__(self):
         return Encoder, (self.v, self.n, self.most)
 
-    def _of(self, chunk: str) -> tuple[int, bytes, int]:
-        """Two generations: what wasn't asked for while ``most`` / 2 others were is forgotten."""
-        found = self.older.get(chunk) or best_and_loss(self.v, chunk)
-        if len(chunk) <= 64:
-            self.cache[chunk] = found
-            if len(self.cache) * 2 > self.most:
-                self.older, self.cache = self.cache, {}
-        return found
-
-    def _others(self, chunk: str) -> list[tuple[int, bytes]]:
+    def _others(self, chunk: str) -> list[tuple[float, bytes]]:
         found = self.alternatives.get(chunk)
         if found is None:
             found = n_best(self.v, chunk, self.n)
@@ -228,9 +230,10 @@ class Encoder:
         if not text:
             return [(0.0, b"")]
         chunks = self.v.chunks.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE))
-        of = self._of
-        found = [self.cache.get(c) or of(c) for c in chunks]
-        weights, path, losses = (list(x) for x in zip(*found))
+        weights, path, losses = (list(x) for x in zip(*map(self.cache.__getitem__, chunks)))
+        if len(self.cache) * 2 > self.most:
+            self.cache.older = {}
+            self.cache = Cache(self.v, self.cache)
         best = sum(weights)
         out = [(best, b"".join(path))]
         places = []
@@ -240,7 +243,7 @@ class Encoder:
                 break
             places.append(losses.index(least))
             losses[places[-1]] = _ALONE
-        combined: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        combined: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         places.sort()
         for i in places:
             others = self._others(chunks[i])
@@ -252,7 +255,7 @@ class Encoder:
                 if r:
                     other[i] = self._others(chunks[i])[-r][1]
             out.append((best - loss, b"".join(other)))
-        return [(round(w / _UNIT) / 1000, ids) for w, ids in out]
+        return [(round(w / _UNIT, 3), ids) for w, ids in out]
 
     def decode(self, ids: bytes) -> str:
         spell = self.v.spell

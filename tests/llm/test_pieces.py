@@ -15,7 +15,7 @@ def vocabulary(extra=()):
 
 def every_path(v, s):
     """All segmentations of a normalised text, cut into the same chunks."""
-    out = [(0, b"", ())]
+    out = [(0.0, b"", ())]
     for chunk in v.chunks.findall(s):
         found = []
 
@@ -28,7 +28,7 @@ def every_path(v, s):
                 if edge:
                     walk(z, w + edge[0], ids + edge[1])
 
-        walk(0, 0, b"")
+        walk(0, 0.0, b"")
         found.sort(reverse=True)
         out = [(w + x, ids + y, (*ranks, -r)) for w, ids, ranks in out for r, (x, y) in enumerate(found)]
     return sorted(out, key=lambda p: (-p[0], p[2]))
