@@ -15,13 +15,14 @@ pair at 0.8 is missed with probability 3e-5, at 0.9 less than 1e-9.  (Per sample
 three random numbers of a shingle come from a table by its hash, and weights are
 rounded to steps of 15 % for the draws; only the candidates depend on that.)
 
-Verification, in rounds.  Every bucket has a hub, the member that meets most others in
-all its buckets; all members of other classes are compared with it by their whole
-shingle sets, and the classes are joined along the links.  A hub then leaves its bucket, and
-buckets whose remaining members are of one class are done.  From the third round on,
-1, 2, 4, ... hubs a bucket are taken at once, so the rounds end after the logarithm of
-a bucket's size, and no two members of different classes stay uncompared: no link
-between classes is lost, nothing is capped, and pairs inside a class aren't made.
+Verification.  Every bucket has a hub, the member that meets most others in all its
+buckets; all members of other classes are compared with it by their whole shingle sets,
+and the classes are joined along the links.  The hub then leaves its bucket, and buckets
+whose remaining members are of one class are done.  After ``TURNS`` such rounds, what is
+still open is compared completely (``rest_links``): in blocks of bounded size, each node
+outside a cloud's largest class with all nodes of the cloud.  So no two members of a
+bucket that end in different classes stay uncompared: no link between classes is lost,
+nothing is capped, and no pairs are made of a class's own members.
 
 Scale.  Texts with equal shingles are one node from the start.  Buckets and hubs come
 from sums and maxima on the map side; large buckets meet their hub in joins that Spark
@@ -41,14 +42,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, fmix, grams, map_texts, slices, small_batches, stage, text_buffer, words_of
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
 BUCKET_BITS, FLOOR = 18, 2.0**-9
-SHIP_BYTES = 32 << 20
+SHIP_BYTES, TURNS = 32 << 20, 2
 _DRAW_BITS, _LEVELS, _STEP = 11, 32, 0.15
 
 
@@ -219,39 +220,45 @@ def meetings(signed: DataFrame) -> DataFrame:
     return found.select("band", "node").join(degree, "node").select("band", "node", "degree")
 
 
-def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+def shipped(table: DataFrame, rows: int, width: int) -> DataFrame:
+    """Broadcast if ``rows`` of ``width`` bytes stay under the bound, else as it is."""
+    return F.broadcast(table) if rows * width <= SHIP_BYTES else table
+
+
+def joined_classes(labels: DataFrame, count: int, links: DataFrame) -> DataFrame:
     """(node, label) after joining the classes that links connect; the least label stays.
 
     Links are first turned into links of labels; then every label takes the least of its
     neighbours' and follows it once more, until nothing changes.
     """
-    l, r = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    pairs = links.join(l, "a").join(r, "b").select("x", "y").filter("x <> y").distinct()
+    small = shipped(labels, count, 64)
+    pairs = links.join(small.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(small.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    pairs = pairs.select("x", "y").filter("x <> y")
     edges = stage(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "class-links")
-    best = stage(edges.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("to")), "class-least")
+    n = edges.count()
+    best = stage(edges.groupBy("x").agg(F.least("x", F.min("y")).alias("to")), "class-least")
     while True:
-        near = edges.join(best.select(F.col("x").alias("y"), F.col("to").alias("t")), "y").groupBy("x").agg(F.min("t").alias("t"))
-        step = best.join(near, "x").select("x", "to", F.least("to", "t").alias("t"))
-        jump = best.select(F.col("x").alias("t"), F.col("to").alias("u"))
+        near = edges.join(shipped(best.select(F.col("x").alias("y"), F.col("to").alias("t")), n, 64), "y").groupBy("x").agg(F.min("t").alias("t"))
+        step = shipped(best, n, 64).join(near, "x").select("x", "to", F.least("to", "t").alias("t"))
+        jump = shipped(best.select(F.col("x").alias("t"), F.col("to").alias("u")), n, 64)
         after = stage(step.join(jump, "t", "left").select("x", "to", F.least("t", F.coalesce("u", "t")).alias("t")), "class-step")
         changed = not after.filter("t <> to").isEmpty()
         best = after.select("x", F.col("t").alias("to"))
         if not changed:
             break
-    return stage(labels.join(best.select(F.col("x").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
+    moved = shipped(best.select(F.col("x").alias("label"), "to"), n, 64)
+    return stage(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
 
 
-def node_sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     """(node, list): the sorted shingles of the given nodes, from one document each."""
-    chosen = stage(signed.select("doc_id", "node").filter("doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    # A node all of whose rows lack an id is found by its text instead; ids may also repeat with other texts.
-    ids = chosen.select("doc_id").distinct()
-    ids = F.broadcast(ids) if chosen.count() * 16 <= SHIP_BYTES else ids
-    known = documents.select("doc_id", "text")
-    rest = nodes.join(chosen, "node", "left_anti")
-    docs = known.join(ids, "doc_id", "left_semi")
-    if not rest.isEmpty():
-        docs = docs.unionByName(known.filter("doc_id is null"))
+    wanted = shipped(nodes, count, 48)
+    chosen = signed.select("doc_id", "node").filter("doc_id is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = stage(chosen, "chosen")
+    docs = documents.select("doc_id", "text")
+    known = docs.join(shipped(chosen.select("doc_id"), count, 24), "doc_id", "left_semi")
+    if not nodes.join(shipped(chosen, count, 48), "node", "left_anti").isEmpty():  # some have no row with an id
+        known = known.unionByName(docs.filter("doc_id is null"))
 
     def work(batch: pa.RecordBatch) -> pa.Table:
         raw, offsets = text_buffer(batch["text"])
@@ -263,25 +270,137 @@ def node_sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame) -> Data
                 keys.append(hashlib.md5(lists[-1]).digest())
         return pa.Table.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.binary())], ["node", "list"])
 
-    made = map_texts(docs.select("text"), work, "node binary, list binary").filter(F.octet_length("list") > 0)
-    made = made.join(F.broadcast(nodes) if chosen.count() * 40 <= SHIP_BYTES else nodes, "node", "left_semi")
-    return stage(made, "sets")
+    made = map_texts(known.select("text"), work, "node binary, list binary").filter(F.octet_length("list") > 0)
+    # Ids that repeat can bring a text twice, or texts that nobody asked for.
+    return stage(made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("list").alias("list")), "sets")
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, weight, least: float) -> DataFrame:
+def links_of(pairs: DataFrame, count: int, sets: DataFrame, weight, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is at least ``least``."""
 
     def work(batch: pa.RecordBatch) -> pa.Table:
-        ok = []
-        for p, q in zip(batch["p"], batch["q"]):
-            x = np.frombuffer(p.as_buffer(), U64)
-            y = np.frombuffer(q.as_buffer(), U64)
-            ok.append(similarity(x, y, weight.value) >= least)
+        ok = [similarity(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), weight.value) >= least for p, q in zip(batch["p"], batch["q"])]
         return pa.Table.from_batches([batch]).filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("list").alias("p")).dropDuplicates(["a"])
-    two = sets.select(F.col("node").alias("b"), F.col("list").alias("q")).dropDuplicates(["b"])
-    return map_texts(pairs.join(one, "a").join(two, "b"), work, "a binary, b binary")
+    if count * 64 <= SHIP_BYTES:
+        # Sets find their pairs where they lie, and move once.
+        both = F.broadcast(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")))
+        met = sets.join(both, "node").groupBy("a", "b").agg(F.first("list").alias("p"), F.last("list").alias("q"))
+    else:
+        one, two = (sets.select(F.col("node").alias(x), F.col("list").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+        met = pairs.join(one, "a").join(two, "b")
+    return map_texts(met.select("a", "b", "p", "q"), work, "a binary, b binary")
+
+
+def links_within(labels: list[bytes], lists: list[np.ndarray], weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between rows of different labels, as few as join the same labels.
+
+    All rows are compared at once: overlaps are sums over shared shingles, by a matrix
+    product for the frequent ones and by their few pairs for the rare ones.  Pairs near
+    the threshold are decided by ``similarity``.
+    """
+    n = len(lists)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    g = np.concatenate(lists)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    begin = np.ones(len(g), bool)
+    begin[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(begin)
+    nth = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+    w = weight[bucket(g)].astype(np.float64)
+    total = np.add.reduceat(w, at[:-1])
+    # A shingle's second occurrence only meets second occurrences, and so on.
+    token, shared_by = np.unique(np.where(nth > 0, fmix(g + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), g), return_inverse=True)
+    order = np.argsort(shared_by, kind="stable")
+    row, w, f = row[order], w[order], np.bincount(shared_by, minlength=len(token))
+    start = np.concatenate([[0], np.cumsum(f)])
+    overlap = np.zeros((n, n), np.float32)
+    many = np.flatnonzero(f > 16)
+    for a in range(0, len(many), 1024):
+        part = many[a : a + 1024]
+        dense = np.zeros((n, len(part)), np.float32)
+        for c, t in enumerate(part.tolist()):
+            dense[row[start[t] : start[t + 1]], c] = np.sqrt(w[start[t]])
+        overlap += dense @ dense.T
+    flat = overlap.reshape(-1)
+    for k in range(2, 17):
+        some = np.flatnonzero(f == k)
+        for a in range(0, len(some), 1 << 14):
+            part = start[some[a : a + (1 << 14)]]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    np.add.at(flat, row[part + i] * n + row[part + j], w[part].astype(np.float32))
+    overlap = np.maximum(overlap, overlap.T)
+    _, label = np.unique(np.array(labels, dtype=object), return_inverse=True)
+    leader = list(range(int(label.max()) + 1)) if n else []
+
+    def find(x: int) -> int:
+        while leader[x] != x:
+            leader[x] = leader[leader[x]]
+            x = leader[x]
+        return x
+
+    out = []
+    for i in range(n):
+        both = overlap[i, i + 1 :]
+        sim = both / (total[i] + total[i + 1 :] - both)
+        for j in (np.flatnonzero((sim >= least - 1e-3) & (label[i + 1 :] != label[i])) + i + 1).tolist():
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x != y and (sim[j - i - 1] >= least + 1e-3 or similarity(lists[i], lists[j], weight) >= least):
+                leader[x] = y
+                out.append((i, j))
+    return out
+
+
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+
+
+def rest_links(members: DataFrame, sets: DataFrame, weight, least: float) -> DataFrame:
+    """Links between the classes of members that no hub has joined: all that there are.
+
+    Buckets that have members in common make a cloud.  A cloud's nodes outside its
+    largest class are compared with all of the cloud, in pairs of blocks of bounded size
+    that are spread over the cluster; pairs are compared but not made.
+    """
+    nodes = stage(members.select("node", "label").distinct(), "open-nodes")
+    count = nodes.count()
+    least_node = members.groupBy("band").agg(F.min("node").alias("b"))
+    ties = stage(members.select("band", F.col("node").alias("a")).join(least_node, "band").filter("a <> b").select("a", "b").distinct(), "cloud-links")
+    cloud = joined_classes(nodes.select("node", F.col("node").alias("label")), count, ties).withColumnRenamed("label", "cloud")
+    known = nodes.join(shipped(cloud, count, 64), "node")
+    rows = stage(sets.join(shipped(known, count, 96), "node"), "open-sets")
+    of_label = rows.groupBy("cloud", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("list")).alias("size"))
+    most = of_label.groupBy("cloud").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    plan = most.filter("n > top.n").select(
+        "cloud", F.col("top.label").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("nm"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("nu")
+    )
+    plan = stage(plan, "cloud-plan")
+    rows = rows.join(shipped(plan, plan.count(), 64), "cloud")
+    main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(main, F.col("nm")).otherwise(F.col("nu"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    met_by_main = F.transform(upto(F.col("nu")), lambda k: key("m", k, F.col("own")))
+    met_by_other = F.concat(F.transform(upto(F.col("nm")), lambda t: key("m", F.col("own"), t)), F.transform(upto(F.col("nu")), lambda k: key("u", F.least(k, F.col("own")), F.greatest(k, F.col("own")))))
+    rows = rows.withColumn("own", own).withColumn("_meets", F.when(main, met_by_main).otherwise(met_by_other))
+    spread = rows.select("node", "label", "list", "cloud", F.explode("_meets").alias("meet")).select("node", "label", "list", "cloud", "meet.kind", "meet.x", "meet.y")
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        nodes = group["node"].to_pylist()
+        lists = [np.frombuffer(x, U64) for x in group["list"].to_pylist()]
+        found = links_within(group["label"].to_pylist(), lists, weight.value, least)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return spread.groupBy("cloud", "kind", "x", "y").applyInArrow(work, "a binary, b binary")
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one class."""
+    hashed = F.xxhash64("label")
+    mixed = stage(members.groupBy("band").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).filter("lo < hi").select("band"), "open")
+    return stage(members.join(shipped(mixed, mixed.count(), 24), "band", "left_semi"), "members")
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
@@ -291,29 +410,27 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     weight = shares(documents)
     sampler, table = spark.sparkContext.broadcast(Sampler(weight)), spark.sparkContext.broadcast(weight)
     signed = stage(signatures(documents, sampler), "signatures")
-    members = meetings(signed)
-    members = stage(members.withColumn("label", F.col("node")), "members")
+    members = stage(meetings(signed).withColumn("label", F.col("node")), "members")
     labels = stage(members.select("node", "label").distinct(), "labels")
-    sets = node_sets(documents, signed, labels.select("node"))
-    hubs_now, turn = 1, 0
-    while not members.isEmpty():
-        top = F.struct("degree", "node", "label")
-        if hubs_now == 1:
-            hubs = members.groupBy("band").agg(F.max(top).alias("hub"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("degree"), F.desc("node")))
-            hubs = members.withColumn("_rank", rank).filter(F.col("_rank") <= hubs_now).select("band", top.alias("hub"))
-        hubs = stage(hubs, "hubs")
-        met = members.join(hubs, "band").filter("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        links = stage(links_of(met.distinct(), sets, table, least), "links")
+    count = labels.count()
+    sets = node_sets(documents, signed, labels.select("node"), count)
+    for _ in range(TURNS):
+        if members.isEmpty():
+            break
+        hubs = stage(members.groupBy("band").agg(F.max(F.struct("degree", "node", "label")).alias("hub")), "hubs")
+        near = shipped(hubs, hubs.count(), 96)
+        met = members.join(near, "band").filter("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        pairs = stage(met.distinct(), "pairs")
+        links = stage(links_of(pairs, pairs.count(), sets, table, least), "links")
+        if not links.isEmpty():
+            labels = joined_classes(labels, count, links)
+        left = members.join(near.select("band", F.col("hub.node").alias("node")), ["band", "node"], "left_anti").drop("label")
+        members = still_open(left.join(shipped(labels, count, 64), "node").select("band", "node", "degree", "label"))
+    if not members.isEmpty():
+        links = stage(rest_links(members, sets, table, least), "links")
         if not links.isEmpty():
-            labels = joined_classes(labels, links)
-        left = members.join(hubs.select("band", F.col("hub.node").alias("node")), ["band", "node"], "left_anti").drop("label").join(labels, "node")
-        open_ = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-        members = stage(left.join(open_, "band").select("band", "node", "degree", "label"), "members")
-        turn += 1
-        hubs_now = 1 if turn < 3 else hubs_now * 2
-    labelled = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            labels = joined_classes(labels, count, links)
+    labelled = signed.select("doc_id", "node").join(shipped(labels, count, 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled, "labelled")
     ids = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = labelled.join(ids, "label", "left")
@@ -328,12 +445,11 @@ def without_near_duplicates(documents: DataFrame, least: float = LEAST) -> DataF
     """
     found = classes(documents.select("doc_id", "text"), least)
     found = stage(found.filter("class_size > 1 and doc_id is not null").select("doc_id", "class_id"), "copies")
-    gone = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    again = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    gone, again = stage(gone, "gone"), stage(again, "again")
-    ship = lambda t: F.broadcast(t) if t.count() * 16 <= SHIP_BYTES else t
-    kept = documents.join(ship(gone), "doc_id", "left_anti")
+    gone = stage(found.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    again = stage(found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    kept = documents.join(shipped(gone, gone.count(), 24), "doc_id", "left_anti")
     if again.isEmpty():
         return kept.select(*documents.columns)
-    repeated = kept.join(ship(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(ship(again), "doc_id", "left_anti").unionByName(repeated).select(*documents.columns)
+    again = shipped(again, again.count(), 24)
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*documents.columns)
