@@ -364,8 +364,9 @@ def rest_links(members: DataFrame, sets: DataFrame, weight, least: float) -> Dat
     """
     nodes = stage(members.select("node", "label").distinct(), "open-nodes")
     count = nodes.count()
-    least_node = members.groupBy("band").agg(F.min("node").alias("b"))
-    ties = stage(members.select("band", F.col("node").alias("a")).join(least_node, "band").filter("a <> b").select("a", "b").distinct(), "cloud-links")
+    # Buckets of one cloud mostly have the same member of highest degree, so few ties differ.
+    centre = members.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("b"))
+    ties = stage(members.select("band", F.col("node").alias("a")).join(centre, "band").filter("a <> b").select("a", "b").distinct(), "cloud-links")
     cloud = joined_classes(nodes.select("node", F.col("node").alias("label")), count, ties).withColumnRenamed("label", "cloud")
     known = nodes.join(shipped(cloud, count, 64), "node")
     rows = stage(sets.join(shipped(known, count, 96), "node"), "open-sets")
@@ -433,8 +434,10 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     labelled = signed.select("doc_id", "node").join(shipped(labels, count, 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled, "labelled")
     ids = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = labelled.join(ids, "label", "left")
-    return out.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node")
+    ids = stage(ids.filter("class_size > 1"), "class-ids")
+    out = labelled.join(shipped(ids, ids.count(), 48), "label", "left")
+    alone = F.col("class_size").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node")
 
 
 def without_near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
