@@ -130,4 +130,4 @@ def directed(seq: Column, direction: Column) -> Column:
 
 
 def table_gb(entries: Column, key_bytes: int, value_bytes: int) -> Column:
-    return entries * (key_bytes + value_bytes + 1) / float(1 << 30)
+    return entries.cast("double") * (key_bytes + value_bytes + 1) / float(1 << 30)
