@@ -396,7 +396,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
     small_batches(spark)
     table = stage(_anchor_table(documents, length), "anchors")
     copies = stage(table.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "copies")
-    one_each = table.join(copies, "digest", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
+    many = copies if copies.count() * 64 > SHIP_BYTES else F.broadcast(copies)  # else the texts of a large group meet in one task
+    one_each = table.join(many, "digest", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
     each = one_each.select("digest", F.explode("hashes").alias("h"))
     again = stage(each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "again")
     per_text = each.distinct().join(again, "h").groupBy("digest").agg(
