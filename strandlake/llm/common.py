@@ -163,6 +163,16 @@ def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def carried(documents: DataFrame, *own: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``documents`` with all columns but ``own`` under names that clash with nothing, those
+    names, and what gives a result the original columns back."""
+    others = [c for c in documents.columns if c not in own]
+    names = [f"_x{i}" for i in range(len(others))]
+    inner = documents.select(*own, *[F.col(f"`{c}`").alias(x) for c, x in zip(others, names)])
+    of = dict(zip(others, names))
+    return inner, names, lambda df: df.select(*[F.col(of.get(c, c)).alias(c) for c in documents.columns])
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``work`` to each Arrow batch of ``df``."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, grams, map_texts, small_batches, text_buffer, words_of
+from .common import WORD, carried, grams, map_texts, small_batches, text_buffer, words_of
 
 WINDOW, K, BLOCK_BYTES = 10, 5, 16 << 20
 
@@ -228,7 +228,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **options) -> Data
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, most: float = 0.0, **options) -> DataFrame:
     """Rows of ``documents``, all columns, whose share of hit words is at most ``most``."""
-    names = documents.columns
-    found = find_hits(documents, benchmark, extra=[c for c in names if c != "doc_id"], **options)
-    hit = n_hit(F.col("spans"))
-    return found.filter(hit <= F.col("n_words") * F.lit(float(most))).select(*names)
+    inner, others, back = carried(documents, "doc_id", "text")
+    found = find_hits(inner, benchmark, extra=["text", *others], **options)
+    return back(found.filter(n_hit(F.col("spans")) <= F.col("n_words") * F.lit(float(most))))

@@ -57,7 +57,7 @@ class Frequencies:
 
     def __init__(self, keys: np.ndarray, lang: np.ndarray, languages: int):
         self.keys, at = np.unique(keys, return_inverse=True)
-        count = np.bincount(at * languages + lang, minlength=len(self.keys) * languages).reshape(-1, languages)
+        count = np.bincount(at * languages + lang, minlength=len(self.keys) * languages).reshape(len(self.keys), languages)
         self.log = np.log((count + 0.1) / (count.sum(0) + 0.1 * max(1, len(self.keys)))).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:

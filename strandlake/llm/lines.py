@@ -63,5 +63,5 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
     out = joined.withColumn("_line_n", n).withColumn("_line_kept", F.when(changed, kept))
     dropped = F.when(changed & (F.col("_line_n") > 0), F.col("_line_n") - F.size("_line_kept")).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("_line_dropped", dropped).withColumn("_line_text", F.when(changed, F.array_join("_line_kept", "\n")).otherwise(F.col(text)))
-    same = [F.col("_line_text").alias(c) if c == text else F.col(c) for c in pages.columns]
+    same = [F.col("_line_text").alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
     return out.select(*same, "_line_n", "_line_dropped")

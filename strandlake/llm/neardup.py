@@ -450,9 +450,10 @@ def without_near_duplicates(documents: DataFrame, least: float = LEAST) -> DataF
     found = stage(found.filter("class_size > 1 and doc_id is not null").select("doc_id", "class_id"), "copies")
     gone = stage(found.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
     again = stage(found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    columns = [f"`{c}`" for c in documents.columns]
     kept = documents.join(shipped(gone, gone.count(), 24), "doc_id", "left_anti")
     if again.isEmpty():
-        return kept.select(*documents.columns)
+        return kept.select(*columns)
     again = shipped(again, again.count(), 24)
     repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*documents.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, bounded_sample, map_texts, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
+from .common import U64, WORD, bounded_sample, carried, map_texts, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
 from .quality import labelled
 
 BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 4000, 16384, 5, 0.3
@@ -221,6 +221,6 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, extra: list[str] | N
 
 def without_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
     """Rows of ``documents``, all columns, with a score below ``cut``."""
-    names = documents.columns
-    kept = score_toxicity(documents, labels, [c for c in names if c != "doc_id"], **options)
-    return kept.filter(F.col("score") < cut).select(*names)
+    inner, others, back = carried(documents, "doc_id", "text")
+    kept = score_toxicity(inner, labels, ["text", *others], **options)
+    return back(kept.filter(F.col("score") < cut))
