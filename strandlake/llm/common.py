@@ -49,11 +49,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what a Python worker holds at once, by rows and bytes, and ship this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def split_of(doc_id: str = "doc_id", parts: int = 4) -> Column:
@@ -76,7 +76,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - lo
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most ``most`` bytes each, or a single longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
