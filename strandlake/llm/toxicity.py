@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import U64, WORD, bounded_sample, carried, map_texts, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
 from .quality import labelled
 
-BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 4000, 16384, 5, 0.3
+BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 3000, 8192, 5, 0.3
 HEADS = (4, 5, 6, 7)
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x0A, 0x21, 0x2E, 0x3F]] = True
@@ -107,8 +107,15 @@ class Field:
         self.w, self.bias, self.t = np.zeros(1 << bits), 0.0, np.zeros((2, 2))
         self.doc = np.zeros(4)
 
+    def odds(self, x: Tokens) -> np.ndarray:
+        """Each token's log odds from its features, one kind of feature at a time."""
+        e = np.full(x.features.shape[1], float(self.bias))
+        for f in x.features:
+            e += self.w[f]
+        return e
+
     def marginals(self, x: Tokens) -> np.ndarray:
-        return forward_backward(self.w[x.features].sum(0) + self.bias, x.begin, x.length, self.t)[0]
+        return forward_backward(self.odds(x), x.begin, x.length, self.t)[0]
 
     def fit_chain(self, x: Tokens, y: np.ndarray, steps: int = 30, rate: float = 0.5, l2: float = 1e-3) -> None:
         """Gradient ascent of the conditional likelihood, with a step size for each weight."""
@@ -122,7 +129,7 @@ class Field:
         observed = sum(np.bincount(f, y, size) for f in x.features)
         gw, gb, gt = np.full(size, 1e-6), 1e-6, np.full((2, 2), 1e-6)
         for _ in range(steps):
-            p, pairs = forward_backward(self.w[x.features].sum(0) + self.bias, x.begin, x.length, self.t)
+            p, pairs = forward_backward(self.odds(x), x.begin, x.length, self.t)
             g = observed - sum(np.bincount(f, p, size) for f in x.features) - l2 * self.w
             gw += g * g
             self.w += rate * g / np.sqrt(gw)
@@ -160,9 +167,12 @@ def token_labels(x: Tokens, y: np.ndarray, evidence: int) -> np.ndarray:
     out = np.zeros(len(x.text), np.int64)
     toxic = y[x.text] == 1
     for keys in x.marks:
-        pair = np.unique(np.stack([keys, x.text.astype(U64)]), axis=1)
-        names, at = np.unique(pair[0], return_inverse=True)
-        bad = np.bincount(at, y[pair[1].astype(np.int64)] == 1, len(names))
+        order = np.lexsort((x.text, keys))
+        k, t = keys[order], x.text[order]
+        first = np.ones(len(k), bool)  # of a key in a text
+        first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+        names, at = np.unique(k[first], return_inverse=True)
+        bad = np.bincount(at, y[t[first]] == 1, len(names))
         every = np.bincount(at, minlength=len(names))
         marks = names[(bad >= evidence) & (bad >= 0.85 * every)]
         out |= np.isin(keys, marks) & toxic
