@@ -42,7 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoding_digest(docs)
+    # Workers still hold what earlier stages needed: a smaller cache than for encoding alone.
+    return pieces.encoding_digest(docs, cache=250_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("decontaminate", drop_contaminated), ("encode", encode)]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, small_batches
 
-MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 700_000
+MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 1_000_000
 SPACE, OWN = "▁", "\udc81"  # OWN stands for a U+2581 of the text; no valid text holds it
 _UNIT, _LOW, _PLACES = 1 << 18, (1 << 12) - 1, 16  # a point of score; an edge's hash, by its place modulo 16
 _NONE, _ALONE = (None, None, None), float("inf")  # the loss where there is no second path
@@ -263,9 +263,9 @@ class Encoder:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def _shipped(spark, model: str, n: int):
-    small_batches(spark, 500)
-    return spark.sparkContext.broadcast(Encoder(load(model), n))
+def _shipped(spark, model: str, n: int, cache: int = CACHE):
+    small_batches(spark)
+    return spark.sparkContext.broadcast(Encoder(load(model), n, cache))
 
 
 def encoded(documents: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
@@ -292,9 +292,13 @@ def decoded(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     return map_texts(rows.select("doc_id", ids), work, "doc_id long, text string")
 
 
-def encoding_digest(documents: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
-    """Digests of each text's segmentations, and whether the best decodes to the text."""
-    shipped = _shipped(documents.sparkSession, model, n)
+def encoding_digest(documents: DataFrame, model: str = MODEL, n: int = BEST, cache: int = CACHE) -> DataFrame:
+    """Digests of each text's segmentations, and whether the best decodes to the text.
+
+    ``cache`` bounds the chunks that a worker remembers, some 350 bytes each; only the
+    speed depends on it.
+    """
+    shipped = _shipped(documents.sparkSession, model, n, cache)
     names = ["doc_id", "n_tokens", "n_paths", "best_score", "worst_score", "ids_sha256", "paths_sha256", "round_trip"]
 
     def one(encoder: Encoder, text: str | None) -> tuple:
