@@ -37,6 +37,20 @@ def parse(text: str) -> list[tuple[str, list[str]]]:
     return [(name, steps[name]) for name in order]
 
 
+def unmet(plan: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
+    """(step, need) of steps that rely on an earlier run, as nothing before them in this one gives it."""
+    done: set[str] = set()
+    out = []
+    for stage, steps in plan:
+        for name in steps:
+            step = f"{stage.removesuffix('_sequential').removesuffix('_rocks')}:{name}"
+            out += [(f"{stage}:{name}", need) for need in NEEDS.get(step, ()) if need not in done]
+            done.add(step)
+            if step == "count:restore":
+                done.add("count:run")
+    return out
+
+
 class Run:
     """What the stages of a run share."""
 
@@ -203,6 +217,8 @@ class Run:
                 known.append((stage, steps))
             else:
                 self.say(f"Skip unknown stage: {stage}")
+        for step, need in unmet(known):
+            self.say(f"{step} takes {need} from an earlier run")
         for stage, steps in known:
             for name in steps:
                 step = self.step(stage, name)

@@ -16,6 +16,12 @@ def test_commands():
     assert runner.parse("") == []
 
 
+def test_needs():
+    assert runner.unmet(runner.parse("count:run,stats;filter:run,dump;merge:run;group_rocks:run,stats")) == []
+    assert runner.unmet(runner.parse("count:restore,export;merge:run")) == [("merge:run", "filter:dump")]
+    assert runner.unmet(runner.parse("group:stats")) == [("group:stats", "group:run")]
+
+
 def test_arguments(tmp_path):
     f = tmp_path / "c.conf"
     f.write_text("[core]\nk = 20\nnum-partitions = 2\n[count]\noutput = /c\n")
