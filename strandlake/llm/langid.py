@@ -19,6 +19,8 @@ alphabetical order.  Repeated rows are each scored; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, bounded_sample, fmix, map_texts, run_hashes, runs, slices, small_batches, spaced, split_of, text_buffer
 
-LONGEST, SAMPLE, SAMPLE_BYTES, TRUST = 5, 4000, 16384, 20
+LONGEST, SAMPLE, SAMPLE_BYTES, TRUST = 5, 4000, 8192, 20
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
@@ -53,11 +55,21 @@ def _parts(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) ->
 
 
 class Frequencies:
-    """Log frequencies of keys in each language, with one added to each count."""
-
-    def __init__(self, keys: np.ndarray, lang: np.ndarray, languages: int):
-        self.keys, at = np.unique(keys, return_inverse=True)
-        count = np.bincount(at * languages + lang, minlength=len(self.keys) * languages).reshape(len(self.keys), languages)
+    """Log frequencies of keys in each language, with a tenth added to each count.
+
+    The parts, pairs of keys and their languages, are counted one after the other.
+    """
+
+    def __init__(self, parts: Iterator[tuple[np.ndarray, np.ndarray]], languages: int):
+        self.keys, count = np.zeros(0, U64), np.zeros((0, languages), np.int64)
+        for keys, lang in parts:
+            own, at = np.unique(keys, return_inverse=True)
+            more = np.bincount(at * languages + lang, minlength=len(own) * languages).reshape(len(own), languages)
+            every, at = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
+            total = np.zeros((len(every), languages), np.int64)
+            total[at[: len(self.keys)]] = count
+            total[at[len(self.keys) :]] += more
+            self.keys, count = every, total
         self.log = np.log((count + 0.1) / (count.sum(0) + 0.1 * max(1, len(self.keys)))).astype(np.float32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -72,13 +84,21 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]):
         self.names = sorted(set(langs))
         own = {x: i for i, x in enumerate(self.names)}
-        mapped, starts, ends, at = _words(pa.array(texts, pa.large_string()))
-        lang = np.repeat(np.array([own[x] for x in langs], np.int64), np.diff(at))
-        self.words = Frequencies(run_hashes(mapped, starts, ends), lang, len(self.names))
-        self.parts = {}
-        for n in range(LONGEST, 0, -1):
-            keys, word = _parts(mapped, starts, ends, n)
-            self.parts[n] = Frequencies(keys, lang[word], len(self.names))
+        spans = [(texts[i : i + 250], np.array([own[x] for x in langs[i : i + 250]], np.int64)) for i in range(0, len(texts), 250)]
+
+        def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part, lang in spans:
+                mapped, starts, ends, at = _words(pa.array(part, pa.large_string()))
+                yield run_hashes(mapped, starts, ends), np.repeat(lang, np.diff(at))
+
+        def parts(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part, lang in spans:
+                mapped, starts, ends, at = _words(pa.array(part, pa.large_string()))
+                keys, word = _parts(mapped, starts, ends, n)
+                yield keys, np.repeat(lang, np.diff(at))[word]
+
+        self.words = Frequencies(words(), len(self.names))
+        self.parts = {n: Frequencies(parts(n), len(self.names)) for n in range(LONGEST, 0, -1)}
 
     def totals(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log frequencies for each text and language, and words that count."""
