@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import U64, fmix, map_texts, slices, small_batches, stage, text_buffer
 
 LENGTH, GRAM, HOT, PAIRS = 400, 32, 50_000, 12
-SHIP_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
+SHIP_BYTES, RANGE_BYTES, RUN_ROWS = 32 << 20, 8 << 20, 50_000
 _SEGMENT = 1 << 19
 _PLACE = U64((1 << 24) - 1)
 _BYTES = fmix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -340,26 +340,42 @@ def _digest(column: str = "text"):
 
 
 def _runs(candidates: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(part, run): each batch's suffixes at its candidate anchors, sorted, cut, front-coded."""
+    """(part, run): each task's suffixes at its candidate anchors, sorted, cut, front-coded.
 
-    def work(batch: pa.RecordBatch) -> pa.Table:
+    A task sorts at most ``RUN_ROWS`` suffixes at a time.
+    """
+
+    def suffixes(batch: pa.RecordBatch) -> Iterator[tuple[bytes, tuple]]:
         raw, offsets = text_buffer(batch["text"])
         place, h, lo, hi = anchors(raw, offsets, length)
         at = np.searchsorted(place, offsets)
-        data, rows = raw.tobytes(), []
+        data = raw.tobytes()
         for d, (digest, wanted) in enumerate(zip(batch["digest"].to_pylist(), batch["cold"])):
             keep = np.flatnonzero(np.isin(h[at[d] : at[d + 1]], np.asarray(wanted.values).view(U64))) + at[d]
             for p, key, a, z in zip(place[keep].tolist(), fmix(h[keep]).tolist(), lo[keep].tolist(), hi[keep].tolist()):
                 # Least hashes are small; hashed once more they spread over the ranges.  Only what
                 # the anchor's own windows reach is kept: back to the first, on to the last's end.
-                rows.append((key.to_bytes(8, "big") + data[p : z + length], (digest, p - int(offsets[d]), p - z, p - a, data[a:p][::-1])))
+                yield key.to_bytes(8, "big") + data[p : z + length], (digest, p - int(offsets[d]), p - z, p - a, data[a:p][::-1])
+
+    def run(rows: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0])
         parts: dict[int, list] = {}
         for row in rows:
             parts.setdefault(int.from_bytes(row[0][:8], "big") * ranges >> 64, []).append(row)
-        return pa.Table.from_arrays([pa.array(list(parts), pa.int32()), pa.array([Run.packed(x) for x in parts.values()], pa.binary())], ["part", "run"])
-
-    return map_texts(candidates.select("text", "digest", "cold"), work, "part int, run binary")
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([Run.packed(x) for x in parts.values()], pa.binary())], ["part", "run"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, tuple]] = []
+        for batch in batches:
+            for row in suffixes(batch):
+                rows.append(row)
+                if len(rows) >= RUN_ROWS:
+                    yield run(rows)
+                    rows = []
+        if rows:
+            yield run(rows)
+
+    return candidates.select("text", "digest", "cold").mapInArrow(work, "part int, run binary")
 
 
 def _hot_spans(candidates: DataFrame, length: int) -> DataFrame:
