@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     spark.sparkContext.addPyFile(at)
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes from fewer files than there are.
+
+    A file that can't be split would be exploded by one task; a large input has files
+    enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from ..session import spread
 
 #: Fixed values of the projection: letters and digits, the bases and the quality they become.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -15,7 +16,7 @@ QUALITY = "IIIIIIIII!!IIIII!IIIIII!I!##########"
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, kind, seq, qual) in chunks of 100 characters; kind is the document id's parity."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text"))
     s = docs.select("doc_id", F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")).alias("s")).filter(F.length("s") > 0)
     parts = s.select("doc_id", "s", F.explode(F.expr("sequence(0, (length(s) + 99) div 100 - 1)")).alias("j"))
     parts = parts.select("doc_id", "j", F.expr("substring(s, 1 + 100 * cast(j as int), 100)").alias("s"))
