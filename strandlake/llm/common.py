@@ -195,18 +195,84 @@ def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, offsets + np.arange(n + 1) + 1
 
 
-def bounded_sample(rows: DataFrame, documents: DataFrame, most: int, most_bytes: int) -> list:
-    """At most ``most`` labelled rows with their whole texts, for fitting a model on the driver.
+def quotas(counts: np.ndarray, most: int, even: float) -> np.ndarray:
+    """How many of ``most`` go to each label: a part ``even`` is dealt evenly, the rest by the counts.
 
-    ``rows`` has a ``doc_id`` and labels.  The rows of least id hash are taken, among
-    texts of at most ``most_bytes``; both bounds are parameters of the models.  The
-    rows come in an order that depends on ids and texts alone.
+    What a label cannot fill goes to the others; all are taken if they are no more than ``most``.
     """
-    docs = documents.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = rows.filter(F.col("doc_id").isNotNull()).orderBy(*order, *[c for c in rows.columns if c != "doc_id"]).limit(most)
-    found = docs.join(F.broadcast(ids), "doc_id").collect()
-    return sorted(found, key=lambda r: (hash_id(r["doc_id"]), r["doc_id"], r["text"]))[:most]
+    counts = np.asarray(counts, np.int64)
+    out = np.zeros(len(counts), np.int64)
+    while (left := int(min(most, counts.sum()) - out.sum())) > 0:
+        free = counts - out
+        some = free > 0
+        want = left * (even * some / some.sum() + (1 - even) * free / free.sum())
+        more = np.minimum(free, want.astype(np.int64))
+        if not more.any():
+            more[np.argsort(-free, kind="stable")[:left]] = 1
+            more = np.minimum(more, free)
+        out += more
+    return out
+
+
+def bounded_sample(rows: DataFrame, documents: DataFrame | None, most: int, most_bytes: int, even: float = 0.25) -> tuple[list, dict]:
+    """At most ``most`` labelled rows with their texts, and how many usable rows each label has.
+
+    ``rows`` has a ``doc_id`` and a ``label``, and a ``text`` if there are no ``documents``
+    to join.  Rows with an id and a text that is not empty are usable, whatever its length;
+    repeated rows count once.  Each label gets its part of the rows (``quotas``), those of
+    least hash of id and text.  All texts together have at most ``most`` times ``most_bytes``
+    bytes, which labels that need much share evenly; texts that don't fit any more are passed
+    over, and only if a label's first text is longer than all that the label has, it is
+    learned from as far as that goes.  The order depends on ids and texts alone.
+
+    Only ids, lengths and hashes are joined and grouped.  Which rows come first is decided
+    among few candidates, those with a hash under a bound by the label's count.
+    """
+    usable = lambda df: df.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
+    sizes = [F.octet_length("text").alias("_bytes"), F.xxhash64("text").alias("_text")]
+    if documents is None:
+        found = usable(rows).select("doc_id", "label", *sizes)
+    else:
+        found = usable(documents).select("doc_id", *sizes).join(rows.select("doc_id", "label"), "doc_id")
+    found = found.filter("label is not null").groupBy("doc_id", "label", "_text").agg(F.max("_bytes").alias("_bytes"))
+    found = stage(found.withColumn("_hash", F.xxhash64("doc_id", "_text")), "usable")
+    groups = found.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most).collect()
+    counts = {g["label"]: g["n"] for g in groups}
+    if not counts:
+        return [], counts
+    dealt = dict(zip(counts, quotas(np.array(list(counts.values())), most, even).tolist()))
+    spark = found.sparkSession
+    # Twice the quota and 100 more are expected under the bound: never too few.
+    bounds = [(label, min(2**63 - 1, -(2**63) + 2**64 * (2 * dealt[label] + 100) // n)) for label, n in counts.items()]
+    bounds = spark.createDataFrame(bounds, f"label {found.schema['label'].dataType.simpleString()}, _bound long")
+    near: dict = {}
+    for r in found.join(F.broadcast(bounds), "label").filter("_hash <= _bound").select("label", "_hash", "doc_id", "_text", "_bytes").collect():
+        near.setdefault(r["label"], []).append((r["_hash"], r["doc_id"], r["_text"], r["_bytes"]))
+    first = {label: sorted(x)[: dealt[label]] for label, x in near.items()}
+    share = dict(zip(first, quotas(np.array([sum(x[3] for x in own) for own in first.values()]), most * most_bytes, 1.0).tolist()))
+    chosen = {}
+    for label, own in first.items():
+        left = share[label]
+        for nth, (h, doc_id, text, size) in enumerate(own):
+            if size <= left or nth == 0 and size > share[label]:
+                chosen[doc_id, text, label] = (h, min(size, left))
+                left -= min(size, left)
+    wanted = [(d, t, str(label), size) for (d, t, label), (_, size) in chosen.items()]
+    wanted = F.broadcast(spark.createDataFrame(wanted, "doc_id long, _text long, _label string, _most long"))
+    texts = (rows if documents is None else documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") > 0)
+    cut = F.when(F.octet_length("text") > F.col("_most"), F.expr("left(text, int(greatest(1, _most div 4)))")).otherwise(F.col("text"))
+    texts = texts.withColumn("_text", F.xxhash64("text")).join(wanted, ["doc_id", "_text"]).select("doc_id", "_text", "_label", cut.alias("text"))
+    texts = {(r["doc_id"], r["_text"], r["_label"]): r["text"] for r in texts.collect()}
+    out = sorted((hash_id(d), d, t, label) for d, t, label in chosen)
+    return [{"doc_id": d, "label": label, "text": texts[d, t, str(label)]} for _, d, t, label in out if (d, t, str(label)) in texts], counts
+
+
+def oversampled(labels: list[int], counts: dict) -> float:
+    """By how much the log odds of label 1 in a sample exceed those of all usable rows."""
+    ones, zeros = sum(labels), len(labels) - sum(labels)
+    if not (ones and zeros):
+        return 0.0
+    return float(np.log(ones / zeros) - np.log(counts[1] / counts[0]))
 
 
 def hash_id(doc_id: int) -> int:

@@ -7,8 +7,9 @@ length is known, those of n - 1 bytes are, down to single bytes.  The known ones
 their mean log frequency.  The greatest sum is the prediction; ``score`` is its
 probability with the evidence of at most ``trust`` words.
 
-Fitted on the driver on at most ``most`` texts of at most ``most_bytes`` bytes each
-that have a language (a documented bound on the sample, taken by id hash); the tables
+Fitted on the driver on at most ``most`` texts, of any length, that have a language and
+``most`` times ``most_bytes`` bytes at most in all (documented bounds on the sample, dealt
+evenly to the languages, taken by hash); the tables
 hold no more than what that sample has, and are shipped to all executors.  Scoring
 reads all rows once, without a shuffle.
 
@@ -143,8 +144,8 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def identify(documents: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``documents``."""
     small_batches(documents.sparkSession)
-    known = documents.filter(F.col("lang").isNotNull() & (split_of() != 2)).select("doc_id", F.col("lang").alias("label"))
-    sample = bounded_sample(known, documents, most, most_bytes)
+    known = documents.filter(F.col("lang").isNotNull() & (split_of() != 2)).select("doc_id", "text", F.col("lang").alias("label"))
+    sample, _ = bounded_sample(known, None, most, most_bytes, even=1.0)
     shipped = documents.sparkSession.sparkContext.broadcast(Model([r["text"] for r in sample], [r["label"] for r in sample]))
 
     def work(batch: pa.RecordBatch) -> pa.Table:

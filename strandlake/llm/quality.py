@@ -6,9 +6,10 @@ equal tokens to one weight, whatever the token); a feature's
 value is its count over the root of the number of features.  A score is the logistic
 of a sparse dot product.
 
-The model is fitted on the driver on at most ``most`` labelled texts of at most
-``most_bytes`` bytes each (a documented bound on the sample, taken by id hash); the
-scoring reads all rows once, without a shuffle, with 2^bits weights (1 MB) shipped.
+The model is fitted on the driver on at most ``most`` labelled texts, of any length, that
+have ``most`` times ``most_bytes`` bytes at most in all (documented bounds on the sample; a
+quarter of them dealt evenly to the labels, taken by hash; the bias is set right for
+labels that the sample has more of); the scoring reads all rows once, without a shuffle, with 2^bits weights (1 MB) shipped.
 
 Edge cases.  Null and empty texts have no features and get the logistic of the bias.
 Null labels are ignored, of several labels of an id the greatest counts.  With no
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, bounded_sample, grams, map_texts, per_text, run_hashes, runs, sigmoid, small_batches, split_of, text_buffer
+from .common import U64, WORD, bounded_sample, grams, map_texts, oversampled, per_text, run_hashes, runs, sigmoid, small_batches, split_of, text_buffer
 
 BITS, SAMPLE, SAMPLE_BYTES, CUT = 18, 4000, 16384, 0.3
 REPEAT = U64(0x5851F42D4C957F2D)  # one feature for all pairs of equal tokens
@@ -99,8 +100,10 @@ def labelled(labels: DataFrame, column: str, parts: int, out: int) -> DataFrame:
 def score_quality(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``documents``."""
     small_batches(documents.sparkSession)
-    sample = bounded_sample(labelled(labels, "quality", 5, 0), documents, most, most_bytes)
-    weights = fit([r["text"] for r in sample], [r["label"] for r in sample])
+    sample, counts = bounded_sample(labelled(labels, "quality", 5, 0), documents, most, most_bytes)
+    y = [r["label"] for r in sample]
+    weights = fit([r["text"] for r in sample], y)
+    weights[-1] -= oversampled(y, counts)
     shipped = documents.sparkSession.sparkContext.broadcast(weights)
 
     def work(batch: pa.RecordBatch) -> pa.Table:

@@ -7,8 +7,10 @@ Forward-backward gives each token's marginal; a document's score is the logistic
 few aggregates of its marginals, and words whose marginal reaches 0.5 are its offending
 spans.
 
-Fitting, on the driver, on at most ``most`` labelled texts of at most ``most_bytes``
-bytes each (documented bounds; taken by id hash; near copies left out).  Token labels
+Fitting, on the driver, on at most ``most`` labelled texts, of any length, that have
+``most`` times ``most_bytes`` bytes at most in all (documented bounds; a quarter of them
+dealt evenly to the labels, taken by hash; near copies left out; the intercept is set
+right for labels that the sample has more of).  Token labels
 come from the document labels: a word, or a beginning of a word, marks toxic tokens
 if it occurs in at least ``evidence`` toxic texts and at least 85 % of the texts that
 have it are toxic; tokens with such a mark in toxic texts are labelled toxic.  The field
@@ -18,7 +20,8 @@ shipped.
 
 Edge cases.  Null, empty and wordless texts have no tokens and get the score of no
 evidence.  Null labels are ignored; of several labels of an id the greatest counts.
-With no labelled row every score is 0.5; without toxic rows no token is toxic.  Repeated
+With no labelled row every score is 0.5; without toxic rows no token is toxic.  Unless
+there are labelled texts of both kinds and marks of toxic ones, ``without_toxic`` keeps every row.  Repeated
 rows are each scored; extra columns are ignored (``score``) or kept (``without_toxic``).
 """
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, bounded_sample, carried, map_texts, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
+from .common import U64, WORD, bounded_sample, carried, map_texts, oversampled, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
 from .quality import labelled
 
 BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 3000, 8192, 5, 0.3
@@ -106,6 +109,7 @@ class Field:
         self.bits = bits
         self.w, self.bias, self.t = np.zeros(1 << bits), 0.0, np.zeros((2, 2))
         self.doc = np.zeros(4)
+        self.learned = False
 
     def odds(self, x: Tokens) -> np.ndarray:
         """Each token's log odds from its features, one kind of feature at a time."""
@@ -179,7 +183,8 @@ def token_labels(x: Tokens, y: np.ndarray, evidence: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int], bits: int = BITS, evidence: int = EVIDENCE) -> Field:
+def fit(texts: list[str], labels: list[int], bits: int = BITS, evidence: int = EVIDENCE, excess: float = 0.0) -> Field:
+    """``excess``: of the log odds of a toxic text in the sample over those in all texts."""
     field = Field(bits)
     if not texts:
         return field
@@ -188,8 +193,11 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, evidence: int = E
     raw, offsets = text_buffer(pa.array([texts[i] for i in keep], pa.large_string()))
     y = np.array([labels[i] for i in keep], np.int64)
     x = Tokens(raw, offsets, bits)
-    field.fit_chain(x, token_labels(x, y, evidence))
+    marked = token_labels(x, y, evidence)
+    field.learned = bool(marked.any()) and not y.all()
+    field.fit_chain(x, marked)
     field.fit_documents(field.aggregates(x, field.marginals(x)), y)
+    field.doc[-1] -= excess
     return field
 
 
@@ -209,12 +217,16 @@ def tag(field: Field, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, extra: list[str] | None = None, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, evidence: int = EVIDENCE) -> DataFrame:
+def fitted(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, evidence: int = EVIDENCE) -> Field:
+    """The field of a sample of the labelled texts."""
+    sample, counts = bounded_sample(labelled(labels, "toxic", 4, 2), documents, most, most_bytes)
+    y = [r["label"] for r in sample]
+    return fit([r["text"] for r in sample], y, evidence=evidence, excess=oversampled(y, counts))
+
+
+def scored(documents: DataFrame, field: Field, extra: list[str]) -> DataFrame:
     """(doc_id, held_out, score, spans, ...) for each row of ``documents``."""
-    extra = extra or []
-    small_batches(documents.sparkSession)
-    sample = bounded_sample(labelled(labels, "toxic", 4, 2), documents, most, most_bytes)
-    shipped = documents.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["label"] for r in sample], evidence=evidence))
+    shipped = documents.sparkSession.sparkContext.broadcast(field)
 
     def work(batch: pa.RecordBatch) -> pa.Table:
         raw, offsets = text_buffer(batch["text"])
@@ -229,8 +241,18 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, extra: list[str] | N
     return map_texts(rows, work, schema + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in extra))
 
 
+def score_toxicity(documents: DataFrame, labels: DataFrame, extra: list[str] | None = None, **options) -> DataFrame:
+    """(doc_id, held_out, score, spans, ...) for each row of ``documents``; options of ``fitted``."""
+    small_batches(documents.sparkSession)
+    return scored(documents, fitted(documents, labels, **options), extra or [])
+
+
 def without_toxic(documents: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
-    """Rows of ``documents``, all columns, with a score below ``cut``."""
+    """Rows of ``documents``, all columns, with a score below ``cut``; all if nothing could be learned."""
+    small_batches(documents.sparkSession)
+    field = fitted(documents, labels, **options)
+    if not field.learned:
+        return documents
     inner, others, back = carried(documents, "doc_id", "text")
-    kept = score_toxicity(inner, labels, ["text", *others], **options)
+    kept = scored(inner, field, ["text", *others])
     return back(kept.filter(F.col("score") < cut))
