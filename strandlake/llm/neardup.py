@@ -12,8 +12,9 @@ means the same at every size of the corpus.
 Candidates.  Improved consistent weighted sampling draws ``BANDS x ROWS`` samples a
 text; texts that agree in all rows of a band meet in a bucket.  With 20 bands of 4 a
 pair at 0.8 is missed with probability 3e-5, at 0.9 less than 1e-9.  (Per sample the
-three random numbers of a shingle come from a table by its hash, and weights are
-rounded to steps of 15 % for the draws; only the candidates depend on that.)
+three random numbers of a shingle come from a table by its hash, and weights up to
+``exp(_LEVELS x _STEP)``, about 100, are rounded to steps of 15 % for the draws; greater
+ones are drawn by as they are.  Only the candidates depend on that.)
 
 Verification.  Every bucket has a hub, the member that meets most others in all its
 buckets; all members of other classes are compared with it by their whole shingle sets,
@@ -127,12 +128,16 @@ class Sampler:
         size = self.samples, 1, 1 << _DRAW_BITS
         r, c, beta = rng.gamma(2, 1, size), rng.gamma(2, 1, size), rng.random(size)
         log_s = np.arange(_LEVELS)[None, :, None] * _STEP
+        self.tables = self.ranks(log_s, r, np.log(c), beta).reshape(self.samples, -1)
+        self.random = [x[:, 0] for x in (r, np.log(c), beta)]
+        self.odd = rng.integers(1, 2**63, self.samples, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+
+    @staticmethod
+    def ranks(log_s: np.ndarray, r: np.ndarray, log_c: np.ndarray, beta: np.ndarray) -> np.ndarray:
         t = np.floor(log_s / r + beta)
-        log_a = np.log(c) - r * (t - beta) - r
+        log_a = log_c - r * (t - beta) - r
         # As order-preserving 20-bit numbers in the upper bits; the hash's bits stand below.
-        rank = np.clip((log_a + 40.0) * (2**20 / 80.0), 0, 2**20 - 1).astype(U64)
-        self.tables = (rank << U64(44)).reshape(self.samples, -1)
-        self.odd = rng.integers(1, 2**63, self.samples, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+        return np.clip((log_a + 40.0) * (2**20 / 80.0), 0, 2**20 - 1).astype(U64) << U64(44)
 
     def draw(self, g: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Samples of each text that has shingles, one row each."""
@@ -141,17 +146,23 @@ class Sampler:
         some = np.flatnonzero(np.diff(at))
         out = np.zeros((len(some), self.samples), U64)
         log_s = np.log(tf) + np.log(self.weight[bucket(g)])
-        level = np.clip(np.rint(log_s / _STEP), 0, _LEVELS - 1).astype(np.int64) << _DRAW_BITS
+        level = np.rint(log_s / _STEP).astype(np.int64)
+        beyond = np.flatnonzero(level >= _LEVELS)  # few: each stands for a hundred shingles
+        level = np.clip(level, 0, _LEVELS - 1) << _DRAW_BITS
         starts = at[some]
         for a in range(0, len(some), 128):  # blocks that stay in the cache
             z = min(a + 128, len(some))
             lo, hi = int(starts[a]), int(starts[z]) if z < len(some) else len(g)
             block, offset, begin = g[lo:hi], level[lo:hi], starts[a:z] - lo
+            far = beyond[slice(*np.searchsorted(beyond, (lo, hi)))] - lo
+            far_s = log_s[far + lo]
             for k in range(self.samples):
                 m = block * self.odd[k]
                 i = (m >> U64(64 - _DRAW_BITS)).astype(np.int64)
                 i += offset
                 key = self.tables[k].take(i)
+                if len(far):
+                    key[far] = self.ranks(far_s, *(x[k].take(i[far] & ((1 << _DRAW_BITS) - 1)) for x in self.random))
                 key |= m & U64((1 << 44) - 1)
                 out[a:z, k] = np.minimum.reduceat(key, begin)
         return out
