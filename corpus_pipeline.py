@@ -6,7 +6,8 @@ of ``documents``:
 
 1. ``toxicity`` drops documents that the tagger rejects (score 0.3 or more).
 2. ``line_dedup`` drops boilerplate lines from texts and sets ``n_chars`` anew where it
-   did; no document goes.
+   did; no document goes.  Near copies count as one page, or the lines of a large group
+   of them would go from all of them before the next stage could keep one.
 3. ``near_dedup`` keeps one document of each class, the one of least id.
 4. ``decontaminate`` drops documents with an occurrence of a benchmark window.
 5. ``encode`` returns the segmentations' digests of each document that is left.
@@ -28,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.without_boilerplate(docs)
+    out = lines.without_boilerplate(docs, copies=lines.near_copies(docs))
     n_chars = F.when(F.col("_line_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*[f"`{c}`" for c in docs.columns])
 
