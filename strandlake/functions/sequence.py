@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: counters stop here.
+#: Counters stop here; the characters of phred scores under 20.
 SATURATED = 65535
+LOW_QUALITY = "".join(map(chr, range(0x21, 0x35)))
 
 
 def clean(seq: Column) -> Column:
@@ -27,7 +28,7 @@ def reverse_complement(seq: Column) -> Column:
 
 def low_quality(qual: Column) -> Column:
     """Bases with a phred score under 20: characters before '5'."""
-    return F.length(F.regexp_replace(qual, "[^!-4]", ""))
+    return F.length(qual) - F.length(F.translate(qual, LOW_QUALITY, ""))
 
 
 def passes_quality(qual: Column) -> Column:

@@ -1,105 +1,155 @@
-"""k-mer frequencies by kind, kept by root, and what is computed from them.
+"""k-mer frequencies by kind, and what is computed from them.
 
-A root's k-mers, of both strands, are at most 32.  They are gathered once in an array,
-so dropping roots that occur once, looking up a k-mer's reverse complement and the
-candidate test need no join and no further shuffle.
+A k-mer and its reverse complement are counted in one row, so the candidate test needs
+no look-up.  Where the total of a root matters, one more shuffle brings its rows together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import sequence as S
-from .kmers import kmers
+from . import kmers as K
+
+
+COUNTERS = ("a_n", "a_t", "b_n", "b_t")
 
 
-def root_table(reads: DataFrame, cfg: Config, once: bool | None = None) -> DataFrame:
-    """(root, total, cells): cells are (kmer, n, t) with saturated counters.
+def pair_counts(reads: DataFrame, cfg: Config, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b, a_n, a_t, b_n, b_t): a k-mer, its reverse complement (both as keys) and their
+    counters, not saturated.
 
-    Two shuffles: sums by k-mer, combined on the map side, then arrays by root.  Roots
-    that occur once in all are dropped unless ``once`` (by default if there is no cache).
+    One shuffle, of sums from the map side.  With ``roots``, occurrences of other roots are
+    dropped before they are counted.
+    """
+    rows = K.occurrences(reads, cfg.k, ("kind",))
+    if roots is not None:
+        rows = K.with_root(rows, cfg.k).join(roots.select("root"), "root", "left_semi")
+    side = lambda c, kind: F.count(F.when(c & (F.col("kind") == kind), 1))
+    ahead = F.col("ahead")
+    rows = rows.select("kind", F.least("kmer", "rc").alias("a"), (F.col("kmer") <= F.col("rc")).alias("ahead"))
+    sums = rows.groupBy("a").agg(side(ahead, 0).alias("a_n"), side(ahead, 1).alias("a_t"), side(~ahead, 0).alias("b_n"), side(~ahead, 1).alias("b_t"))
+    return K.with_complement(sums, "a", "b", cfg.k)
+
+
+def _saturated(pairs: DataFrame, cfg: Config, *more: Column) -> DataFrame:
+    return pairs.select(K.root(F.col("a"), F.col("b"), cfg.k).alias("root"), *more, "a", "b", *[S.saturated(F.col(c)).alias(c) for c in COUNTERS])
+
+
+def _of_root() -> WindowSpec:
+    return Window.partitionBy("root")
+
+
+def root_table(reads: DataFrame, cfg: Config, once: bool | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(root, total, a, b, a_n, a_t, b_n, b_t): pairs with saturated counters and their root's total.
+
+    A second shuffle brings the pairs of a root together, 16 at most, so that each learns the
+    total.  Roots that occur once in all are dropped unless ``once`` (by default if there is
+    no cache).
     """
     once = not cfg.enable_cache if once is None else once
-    counts = kmers(reads, cfg.k, ("kind",)).groupBy("kmer").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("n"), F.count(F.when(F.col("kind") == 1, 1)).alias("t"))
-    stem = S.stem(F.col("kmer"), cfg.k)
-    cell = F.struct("kmer", S.saturated(F.col("n")).alias("n"), S.saturated(F.col("t")).alias("t"))
-    table = counts.groupBy(S.root(stem).alias("root")).agg(F.sum(F.col("n") + F.col("t")).alias("total"), F.collect_list(cell).alias("cells"))
+    total = sum((F.col(c) for c in COUNTERS[1:]), F.col(COUNTERS[0]))
+    table = _saturated(pair_counts(reads, cfg, roots), cfg, total.alias("total")).withColumn("total", F.sum("total").over(_of_root()))
     return table if once else table.filter("total >= 2")
 
 
-def kmer_counts(table: DataFrame) -> DataFrame:
-    return table.select("root", F.inline("cells"))
+def cells(table: DataFrame, cfg: Config) -> DataFrame:
+    """(root, kmer, rc, n, t, n_rc, t_rc): a k-mer's counters and its reverse complement's.
+
+    A complement that wasn't seen has zeros; so has that of a k-mer whose stem is its
+    own reverse complement.
+    """
+    rows = table.withColumn("own", K.own(F.col("a"), F.col("b"), cfg.k))
+    zero = F.lit(0).cast("long")
+    cell = lambda x, y: F.struct(F.col(x).alias("kmer"), F.col(y).alias("rc"), F.col(f"{x}_n").alias("n"), F.col(f"{x}_t").alias("t"), *[F.when(F.col("own"), zero).otherwise(F.col(f"{y}_{c}")).alias(f"{c}_rc") for c in "nt"])
+    return rows.select("root", F.inline(F.array(cell("a", "b"), cell("b", "a")))).filter("n + t > 0")
+
+
+def decoded(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Rows with the bases of their ``kmer``."""
+    return rows.withColumn("kmer", K.text(F.col("kmer"), cfg.k, cfg.k))
+
+
+def kmer_counts(table: DataFrame, cfg: Config) -> DataFrame:
+    """(root, kmer, n, t), the k-mers as strings."""
+    return decoded(cells(table, cfg).select("root", "kmer", "n", "t"), cfg)
 
 
 def _condition(cfg: Config, a_n, a_t, b_n, b_t) -> Column:
     return (a_t >= cfg.min_tumor_a) & (a_n <= cfg.max_normal_a) & (b_t >= cfg.min_tumor_b) & (b_n <= cfg.max_normal_b)
 
 
+def _hit(cfg: Config) -> Column:
+    return _condition(cfg, F.col("n"), F.col("t"), F.col("n_rc"), F.col("t_rc"))
+
+
 def _one_sided(cfg: Config, n, t) -> Column:
     """What a k-mer needs to be the one or the other side of a candidate."""
     return ((t >= cfg.min_tumor_a) & (n <= cfg.max_normal_a)) | ((t >= cfg.min_tumor_b) & (n <= cfg.max_normal_b))
 
 
-def with_complements(table: DataFrame) -> DataFrame:
-    """(root, kmer, n, t, n_rc, t_rc): a k-mer's counters and its reverse complement's.
-
-    A complement that wasn't seen has zeros; so has that of a k-mer whose stem is its
-    own reverse complement.
-    """
-    rows = table.select("root", "cells", F.explode("cells").alias("c"))
-    own = S.reverse_complement(F.col("root")) == F.col("root")
-    rc = F.when(~own, F.get(F.filter("cells", lambda x: x.kmer == S.reverse_complement(F.col("c.kmer"))), F.lit(0)))
-    rows = rows.withColumn("rc", rc)
-    zero = F.lit(0).cast("long")
-    return rows.select("root", "c.kmer", "c.n", "c.t", F.coalesce("rc.n", zero).alias("n_rc"), F.coalesce("rc.t", zero).alias("t_rc"))
+def candidates(table: DataFrame, cfg: Config) -> DataFrame:
+    """(root, kmer, n, t, n_rc, t_rc) of candidate k-mers, as strings, with both sides' counters."""
+    pair = ("a_n", "a_t", "b_n", "b_t")
+    able = _one_of(pair, lambda n, t: (t >= cfg.min_tumor_a) & (n <= cfg.max_normal_a))
+    return decoded(cells(table.filter(able), cfg).filter(_hit(cfg)).drop("rc"), cfg)
 
 
-def candidates(table: DataFrame, cfg: Config) -> DataFrame:
-    """Candidate k-mers with both sides' counters.
+def candidates_of(reads: DataFrame, cfg: Config) -> DataFrame:
+    """The same straight from reads.
 
-    Roots without any k-mer that passes the a side are dropped before cells are paired.
+    A candidate that occurs twice has a root that does, so totals of roots, and the shuffle
+    for them, are only needed if one occurrence can make a candidate.
     """
-    able = table.filter(F.exists("cells", lambda c: (c.t >= cfg.min_tumor_a) & (c.n <= cfg.max_normal_a)))
-    rows = with_complements(able)
-    return rows.filter(_condition(cfg, F.col("n"), F.col("t"), F.col("n_rc"), F.col("t_rc")))
+    if cfg.enable_cache and cfg.min_tumor_a < 2:
+        return candidates(root_table(reads, cfg), cfg)
+    return candidates(_saturated(pair_counts(reads, cfg), cfg), cfg)
+
+
+def _one_of(counters: tuple[str, ...], test: Callable[[Column, Column], Column]) -> Column:
+    a_n, a_t, b_n, b_t = (F.col(c) for c in counters)
+    return test(a_n, a_t) | test(b_n, b_t)
 
 
 def stem_counts(table: DataFrame, cfg: Config) -> DataFrame:
-    """(stem, root, ord, kmers, n, t, open): each stem's sums; open if a k-mer passes one side."""
-    rows = kmer_counts(table).withColumn("stem", S.stem(F.col("kmer"), cfg.k))
+    """(stem, root, kmers, n, t, open, ord), stems and roots as keys: each stem's sums;
+    open if a k-mer passes one side."""
+    rows = cells(table, cfg).withColumn("stem", K.stem(F.col("kmer"), cfg.k)).withColumn("ord", K.orientation(F.col("kmer"), F.col("rc"), cfg.k))
     return rows.groupBy("stem", "root").agg(
-        F.count("*").alias("kmers"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.bool_or(_one_sided(cfg, F.col("n"), F.col("t"))).alias("open")
-    ).withColumn("ord", S.orientation(F.col("stem")))
+        F.count("*").alias("kmers"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.bool_or(_one_sided(cfg, F.col("n"), F.col("t"))).alias("open"), F.max("ord").alias("ord")
+    )
 
 
 def prefiltered(table: DataFrame, cfg: Config) -> DataFrame:
-    """Roots that hold a candidate."""
-    return table.join(candidates(table, cfg).select("root").distinct(), "root", "left_semi")
+    """Pairs of roots that hold a candidate; the pairs of a root are together already."""
+    own, zero = K.own(F.col("a"), F.col("b"), cfg.k), F.lit(0).cast("long")
+    other = lambda c: F.when(own, zero).otherwise(F.col(c))
+    side = lambda x, y: _condition(cfg, F.col(f"{x}_n"), F.col(f"{x}_t"), other(f"{y}_n"), other(f"{y}_t"))
+    return table.withColumn("_holds", F.max(side("a", "b") | side("b", "a")).over(_of_root())).filter("_holds").drop("_holds")
 
 
 def export_range(table: DataFrame, cfg: Config) -> DataFrame:
     """k-mers with a counter strictly between the export bounds."""
     within = lambda c: (F.col(c) > cfg.export_min) & (F.col(c) < cfg.export_max)
-    return kmer_counts(table).filter(within("n") | within("t")).select("kmer", "n", "t")
+    return decoded(cells(table, cfg).filter(within("n") | within("t")).select("kmer", "n", "t"), cfg)
 
 
-def annotated(reads: DataFrame, table: DataFrame, cfg: Config) -> DataFrame:
-    """(id, at, kmer, n, t) of reads' k-mers with a known root; zeros if the k-mer wasn't seen."""
-    rows = kmers(reads, cfg.k, ("id",)).withColumn("root", S.root(S.stem(F.col("kmer"), cfg.k)))
-    met = rows.join(table.select("root", "cells"), "root")
-    cell = F.get(F.filter("cells", lambda x: x.kmer == F.col("kmer")), F.lit(0))
-    zero = F.lit(0).cast("long")
-    met = met.withColumn("cell", cell)
-    return met.select("id", "at", "kmer", F.coalesce("cell.n", zero).alias("n"), F.coalesce("cell.t", zero).alias("t"))
+def annotated(reads: DataFrame, table: DataFrame, cfg: Config, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep, at, kmer, n, t) of reads' k-mers with a known root; zeros if the k-mer wasn't seen."""
+    rows = K.with_root(K.occurrences(reads, cfg.k, keep), cfg.k)
+    pairs = table.groupBy("root").agg(F.collect_list(F.struct("a", *COUNTERS)).alias("pairs"))
+    met = rows.join(pairs, "root").withColumn("pair", F.get(F.filter("pairs", lambda p: p.a == F.least("kmer", "rc")), F.lit(0)))
+    of = lambda c: F.coalesce(F.when(F.col("kmer") <= F.col("rc"), F.col(f"pair.a_{c}")).otherwise(F.col(f"pair.b_{c}")), F.lit(0).cast("long")).alias(c)
+    return decoded(met.select(*keep, "at", "kmer", of("n"), of("t")), cfg)
 
 
 def _by_root(table: DataFrame, cfg: Config) -> DataFrame:
     """Each root's stems, k-mers, sums and hits by orientation."""
-    hit = _condition(cfg, F.col("n"), F.col("t"), F.col("n_rc"), F.col("t_rc"))
-    order = S.orientation(S.stem(F.col("kmer"), cfg.k))
-    rows = with_complements(table).select("root", order.alias("o"), F.col("n"), F.col("t"), hit.cast("int").alias("hit"))
+    rows = cells(table, cfg).select("root", K.orientation(F.col("kmer"), F.col("rc"), cfg.k).alias("o"), "n", "t", _hit(cfg).cast("int").alias("hit"))
     of = lambda o, c: F.sum(F.when(F.col("o") == o, F.col(c)).otherwise(0))
     return rows.groupBy("root").agg(
         F.count("*").alias("kmers"), of(0, "hit").alias("h0"), of(1, "hit").alias("h1"), *[of(o, c).alias(f"{c}{o}") for o in (0, 1) for c in "nt"]

@@ -8,6 +8,7 @@ those reads.  The sets: nn and tn, normal and tumor reads of k2i; tm, reads of i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import sequence as S
-from .kmers import kmers, segment_place
+from .kmers import key, occurrences, own, segment_place, with_root
 
 
 @dataclass
@@ -29,48 +30,57 @@ def set_of(kind):
     return F.when(kind == 0, "nn").otherwise("tn")
 
 
-def k2i(reads: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
-    rows = kmers(reads, cfg.k, ("id", "kind"))
-    rows = rows.select("id", "kind", S.root(S.stem(F.col("kmer"), cfg.k)).alias("root"))
+def hits(reads: DataFrame, candidates: DataFrame, cfg: Config, tags: tuple[str, ...] = ()) -> DataFrame:
+    """(set, kmer, id, dir, pos, tags): every place where a read meets a candidate's root.
+
+    The reads are cut into k-mers once, for both indexes.  ``dir`` and ``pos`` are null
+    where the candidate itself stands on neither strand.  Places count from the start of
+    the segment; on strand b from the read's other end.
+    """
+    k = cfg.k
+    cut = reads.select("id", "kind", "seq", F.length("seq").alias("len"), F.when(F.contains("seq", F.lit("N")), F.col("seq")).alias("split"))
+    rows = with_root(occurrences(cut, k, ("id", "kind", "len", "split")), k)
     # Spark broadcasts the candidates if they are few, and else splits frequent roots.
-    return rows.join(candidates.select("root", "kmer"), "root").select(set_of(F.col("kind")).alias("set"), "kmer", "id").distinct()
+    wanted = candidates.select("root", F.col("kmer").alias("candidate"), key(F.col("kmer"), k).alias("key"), *tags)
+    met = rows.join(wanted, "root")
+    place = F.when(F.col("split").isNull(), F.col("at")).otherwise(segment_place(F.col("split"), F.col("at")))
+    side = F.when(F.col("kmer") == F.col("key"), "a").when((F.col("rc") == F.col("key")) & ~own(F.col("kmer"), F.col("rc"), k), "b")
+    met = met.select(set_of(F.col("kind")).alias("set"), F.col("candidate").alias("kmer"), "id", side.alias("dir"), place.alias("place"), "len", *tags)
+    pos = F.when(F.col("dir") == "a", F.col("place")).when(F.col("dir") == "b", F.col("len") - k - F.col("place"))
+    return met.select("set", "kmer", "id", "dir", pos.alias("pos"), *tags)
+
+
+def k2i(met: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    return met.select("set", "kmer", "id", *tags).distinct()
 
 
-def i2p(reads: DataFrame, candidates: DataFrame, cfg: Config) -> DataFrame:
-    """Places count from the start of the segment; on strand b from the read's other end."""
-    tumor = reads.filter("kind = 1")
-    rows = kmers(tumor, cfg.k, ("id", "seq"))
-    place = F.when(F.contains("seq", F.lit("N")), segment_place(F.col("seq"), F.col("at"))).otherwise(F.col("at"))
-    rows = rows.select("id", "kmer", place.alias("at"), F.length("seq").alias("len"))
-    stem = S.stem(F.col("kmer"), cfg.k)
-    turned = S.reverse_complement(F.col("kmer"))
-    sides = [F.struct(F.lit("a").alias("dir"), F.col("kmer").alias("kmer"), F.col("at").alias("pos"))]
-    own = S.reverse_complement(stem) == stem
-    sides.append(F.when(~own, F.struct(F.lit("b").alias("dir"), turned.alias("kmer"), (F.col("len") - cfg.k - F.col("at")).alias("pos"))))
-    both = rows.select("id", F.explode(F.array_compact(F.array(*sides))).alias("s")).select("id", "s.dir", "s.kmer", "s.pos")
-    return both.join(candidates.select("kmer"), "kmer", "left_semi").select("id", "dir", "pos").distinct()
+def i2p(met: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    return met.filter("set = 'tn' and dir is not null").select("id", "dir", "pos", *tags).distinct()
 
 
-def seq(reads: DataFrame, by_kmer: DataFrame, by_place: DataFrame) -> DataFrame:
+def seq(reads: DataFrame, by_kmer: DataFrame, by_place: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
     """Duplicate ids keep the least sequence of their kind."""
-    ids = by_kmer.select("set", "id").unionByName(by_place.select(F.lit("tm").alias("set"), "id")).distinct()
+    ids = by_kmer.select("set", "id", *tags).unionByName(by_place.select(F.lit("tm").alias("set"), "id", *tags)).distinct()
     known = reads.select("id", "seq", F.explode(F.when(F.col("kind") == 0, F.array(F.lit("nn"))).otherwise(F.array(F.lit("tn"), F.lit("tm")))).alias("set"))
-    return known.join(ids, ["set", "id"]).groupBy("set", "id").agg(F.min("seq").alias("seq"))
+    return known.join(ids, ["set", "id"]).groupBy("set", "id", *tags).agg(F.min("seq").alias("seq"))
 
 
-def indexes(reads: DataFrame, candidates: DataFrame, cfg: Config) -> Indexes:
-    by_kmer, by_place = k2i(reads, candidates, cfg), i2p(reads, candidates, cfg)
-    return Indexes(seq(reads, by_kmer, by_place), by_kmer, by_place)
+def indexes(reads: DataFrame, candidates: DataFrame, cfg: Config, tags: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Indexes:
+    """``tags`` are columns of the candidates that all rows carry on; ``keep`` may persist
+    what several indexes are made from (the hits, k2i and i2p are small, the reads aren't)."""
+    met = keep(hits(reads, candidates, cfg, tags))
+    by_kmer, by_place = keep(k2i(met, tags)), keep(i2p(met, tags))
+    return Indexes(seq(reads, by_kmer, by_place, tags), by_kmer, by_place)
 
 
 def capped(by_kmer: DataFrame, most: int) -> DataFrame:
     """(set, kmer, n) of k-mers with at most ``most`` reads."""
-    return by_kmer.groupBy("set", "kmer").agg(F.countDistinct("id").alias("n")).filter(F.col("n") <= most)
+    return by_kmer.groupBy("set", "kmer").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
 
 
 def capped_rows(by_kmer: DataFrame, most: int) -> DataFrame:
     """k2i without the k-mers above the cap; few k-mers are above it, so they are looked for."""
-    over = by_kmer.groupBy("set", "kmer").agg(F.countDistinct("id").alias("n")).filter(F.col("n") > most)
+    over = by_kmer.groupBy("set", "kmer").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     return by_kmer.join(over.select("set", "kmer"), ["set", "kmer"], "left_anti")
 
 

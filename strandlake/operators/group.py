@@ -46,7 +46,7 @@ def lead_kmers(lead: DataFrame, cfg: Config, last: int | None = 50) -> DataFrame
 
 def kmer_reads(ix: Indexes, cfg: Config) -> DataFrame:
     """(set, kmer, reads): reads of each k-mer under the filter's cap."""
-    return ix.k2i.groupBy("set", "kmer").agg(F.countDistinct("id").alias("reads")).filter(F.col("reads") <= cfg.max_reads)
+    return ix.k2i.groupBy("set", "kmer").agg(F.count("*").alias("reads")).filter(F.col("reads") <= cfg.max_reads)
 
 
 def kmer_table(ix: Indexes, cfg: Config, last: int | None = 50, per_entry: bool = False) -> DataFrame:

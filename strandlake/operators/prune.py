@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import kmers, with_root
+from .kmers import occurrences, with_root
 
 
 def repeated_roots(reads: DataFrame, k: int) -> DataFrame:
     """(root, total) of roots that occur at least twice, in both kinds and strands."""
-    return with_root(kmers(reads, k, ("id",)), k).groupBy("root").agg(F.count("*").alias("total")).filter("total >= 2")
+    return with_root(occurrences(reads, k, ()), k).groupBy("root").agg(F.count("*").alias("total")).filter("total >= 2")
 
 
 def pruned(rows: DataFrame, roots: DataFrame) -> DataFrame:

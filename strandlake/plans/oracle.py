@@ -28,18 +28,19 @@ def km(k: int, source: str = "reads", name: str = "km") -> str:
 
 def counts(k: int) -> str:
     return READS + "," + km(k) + """,
-c_all AS (SELECT kmer, any_value(stem) stem, any_value(root) root, count(*) FILTER (WHERE kind = 0) n0, count(*) FILTER (WHERE kind = 1) t0 FROM km GROUP BY kmer),
-c AS (SELECT kmer, stem, root, least(n0, 65535) n, least(t0, 65535) t FROM c_all WHERE root IN (SELECT root FROM c_all GROUP BY root HAVING sum(n0 + t0) >= 2))"""
+c_all AS MATERIALIZED (SELECT kmer, any_value(stem) stem, any_value(root) root, count(*) FILTER (WHERE kind = 0) n0, count(*) FILTER (WHERE kind = 1) t0 FROM km GROUP BY kmer),
+c AS MATERIALIZED (SELECT kmer, stem, root, least(n0, 65535) n, least(t0, 65535) t FROM c_all WHERE root IN (SELECT root FROM c_all GROUP BY root HAVING sum(n0 + t0) >= 2))"""
 
 
 _PAIRED = f"""
 paired AS (SELECT a.kmer, a.stem, a.root, a.n, a.t, coalesce(b.n, 0) n_rc, coalesce(b.t, 0) t_rc
-  FROM c a LEFT JOIN c b ON b.kmer = {rc("a.kmer")} AND a.stem <> {rc("a.stem")})"""
-_CAND = "cand AS (SELECT * FROM paired WHERE t >= 4 AND n <= 1 AND t_rc >= 1 AND n_rc <= 1)"
+  FROM (SELECT *, CASE WHEN stem <> {rc("stem")} THEN {rc("kmer")} END other FROM c{{where}}) a LEFT JOIN c b ON b.kmer = a.other)"""
+_EVERY, _ABLE = _PAIRED.format(where=""), _PAIRED.format(where=" WHERE t >= 4 AND n <= 1")
+_CAND = "cand AS MATERIALIZED (SELECT * FROM paired WHERE t_rc >= 1 AND n_rc <= 1)"
 
 
 def cand(k: int) -> str:
-    return counts(k) + "," + _PAIRED + ",\n" + _CAND
+    return counts(k) + "," + _ABLE + ",\n" + _CAND
 
 
 _SEGMENT = "i - length(regexp_extract(left(seq, CAST(i AS INT)), '^.*N'))"
@@ -77,7 +78,7 @@ SELECT lk.id, dir, pos, lk.kmer, {part("kept_n", "x", "<=")}, {part("kept_t", "y
 FROM lk LEFT JOIN kr x ON x.kmer = lk.kmer AND x."set" = 'nn' LEFT JOIN kr y ON y.kmer = lk.kmer AND y."set" = 'tn'"""
 
 
-_STATS = f"""WITH {counts(16)},{_PAIRED},
+_STATS = f"""WITH {counts(16)},{_EVERY},
 h AS (SELECT root, CASE WHEN {rc("stem")} < stem THEN 1 ELSE 0 END o, n, t, CASE WHEN t >= 4 AND n <= 1 AND t_rc >= 1 AND n_rc <= 1 THEN 1 ELSE 0 END hit FROM paired),
 r AS (SELECT root, count(*) kmers, coalesce(sum(hit) FILTER (WHERE o = 0), 0) h0, coalesce(sum(hit) FILTER (WHERE o = 1), 0) h1,
   coalesce(sum(n + t) FILTER (WHERE o = 0), 0) s0, coalesce(sum(n + t) FILTER (WHERE o = 1), 0) s1 FROM h GROUP BY root)
@@ -110,6 +111,7 @@ SELECT sixmer, count(*) roots, CAST(list_sum(list_transform(range(1, 7), lambda
     "repeated_roots": f"WITH {READS},{km(16)} SELECT root, count(*) total FROM km GROUP BY root HAVING count(*) >= 2",
     "prune_semi_join": f"""WITH {READS},{km(16)}
 SELECT id, kind, count(*) kmers, count(DISTINCT root) roots FROM km WHERE root IN (SELECT root FROM km GROUP BY root HAVING count(*) >= 2) GROUP BY id, kind""",
+    "pruned_counts": f"WITH {counts(16)} SELECT kmer, n, t FROM c",
     "stem_counts": f"""WITH {counts(16)}
 SELECT stem, any_value(root) root, count(*) kmers, CAST(sum(n) AS BIGINT) n, CAST(sum(t) AS BIGINT) t, bool_or((t >= 4 AND n <= 1) OR (t >= 1 AND n <= 1)) open,
   CASE WHEN {rc("stem")} < stem THEN 1 ELSE 0 END ord FROM c GROUP BY stem""",

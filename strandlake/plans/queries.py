@@ -28,13 +28,16 @@ def _table(spark: SparkSession, sf_dir: str, cfg: Config = CFG) -> DataFrame:
     return count.root_table(_reads(spark, sf_dir), cfg)
 
 
-def _indexes(spark: SparkSession, sf_dir: str) -> index.Indexes:
-    """The indexes, each computed once: they are small, the reads behind them are not."""
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The reads, and the few candidates among their k-mers."""
     reads = _reads(spark, sf_dir)
-    found = count.candidates(count.root_table(reads, CFG), CFG).select("root", "kmer").persist()
-    ix = index.indexes(reads, found, CFG)
-    by_kmer, by_place = ix.k2i.persist(), ix.i2p.persist()
-    return index.Indexes(index.seq(reads, by_kmer, by_place).persist(), by_kmer, by_place)
+    return reads, count.candidates_of(reads, CFG).select("root", "kmer")
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> index.Indexes:
+    """The indexes; the reads are cut once for counting and once for all of them."""
+    reads, found = _candidates(spark, sf_dir)
+    return index.indexes(reads, found, CFG, keep=lambda df: df.persist())
 
 
 def read_quality_filter(spark, d):
@@ -50,8 +53,9 @@ def n_split_segments(spark, d):
 
 
 def kmer_explode(spark, d):
-    rows = kmers.kmers(_reads(spark, d), CFG.k, ("id",))
-    return rows.groupBy("id").agg(F.count("*").alias("kmers"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"), F.sum("at").alias("places"))
+    rows = kmers.occurrences(_reads(spark, d), CFG.k, ("id",))
+    text = lambda f: kmers.text(f("kmer"), CFG.k, CFG.k)
+    return rows.groupBy("id").agg(F.count("*").alias("kmers"), text(F.min).alias("least"), text(F.max).alias("greatest"), F.sum("at").alias("places"))
 
 
 def revcomp_reads(spark, d):
@@ -59,60 +63,74 @@ def revcomp_reads(spark, d):
 
 
 def encode_stems(spark, d):
-    stem = S.stem(F.col("kmer"), CFG.k)
-    rows = kmers.kmers(_reads(spark, d), CFG.k, ("id",)).select(stem.alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    rows = kmers.occurrences(_reads(spark, d), CFG.k, ()).groupBy(kmers.stem(F.col("kmer"), CFG.k).alias("key")).agg(F.count("*").alias("n"))
+    rows = rows.select("n", kmers.text(F.col("key"), CFG.stem_len, CFG.k).alias("stem"))
     code = S.encode(F.col("stem"))
     return rows.select("stem", "n", code.alias("code"), S.decode(code, CFG.k - 2).alias("decoded"), S.reverse_complement_code(code, CFG.k - 2).alias("rc_code"))
 
 
 def canonical_roots(spark, d):
+    rows = kmers.occurrences(_reads(spark, d), CFG.k, ()).groupBy("kmer").agg(F.count("*").alias("n"))
+    rows = rows.select("n", kmers.text(F.col("kmer"), CFG.k, CFG.k).alias("kmer"))
     stem = S.stem(F.col("kmer"), CFG.k)
-    rows = kmers.kmers(_reads(spark, d), CFG.k, ("kind",)).select("kind", S.root(stem).alias("root"), S.orientation(stem).alias("ord"), S.first_base(F.col("kmer")).alias("first"), S.last_base(F.col("kmer")).alias("last"))
-    rows = rows.groupBy("root", "ord", "first", "last").agg(F.count("*").alias("n"))
+    rows = rows.select("n", S.root(stem).alias("root"), S.orientation(stem).alias("ord"), S.first_base(F.col("kmer")).alias("first"), S.last_base(F.col("kmer")).alias("last"))
     return rows.select("root", "ord", "first", "last", "n", S.kmer_of(F.col("root"), F.col("first"), F.col("last"), F.col("ord")).alias("kmer"))
 
 
 def partition_code(spark, d):
-    middle = F.substring(F.col("root"), (CFG.stem_len - 6) // 2 + 1, 6)
-    return _table(spark, d).groupBy(middle.alias("sixmer")).agg(F.count("*").alias("roots")).withColumn("code", S.partition_code(F.col("sixmer")))
+    root = kmers.text(F.col("root"), CFG.stem_len, CFG.k)
+    rows = _table(spark, d).select("root").distinct().select(F.substring(root, (CFG.stem_len - 6) // 2 + 1, 6).alias("sixmer")).groupBy("sixmer")
+    return rows.agg(F.count("*").alias("roots")).withColumn("code", S.partition_code(F.col("sixmer")))
 
 
 def kmer_counts(spark, d):
-    return count.kmer_counts(_table(spark, d)).select("kmer", "n", "t")
+    return count.kmer_counts(_table(spark, d), CFG).select("kmer", "n", "t")
 
 
 def kmer_counts_nocache(spark, d):
-    return count.kmer_counts(count.root_table(_reads(spark, d), CFG, once=True)).select("kmer", "n", "t")
+    return count.kmer_counts(count.root_table(_reads(spark, d), CFG, once=True), CFG).select("kmer", "n", "t")
 
 
 def kmer_counts_k30(spark, d):
-    return count.kmer_counts(_table(spark, d, DEFAULT_K)).select("kmer", "n", "t")
+    return count.kmer_counts(_table(spark, d, DEFAULT_K), DEFAULT_K).select("kmer", "n", "t")
+
+
+def _root_text(rows: DataFrame, column: str = "root") -> DataFrame:
+    return rows.withColumn(column, kmers.text(F.col(column), CFG.stem_len, CFG.k))
 
 
 def repeated_roots(spark, d):
-    return prune.repeated_roots(_reads(spark, d), CFG.k)
+    return _root_text(prune.repeated_roots(_reads(spark, d), CFG.k))
 
 
 def prune_semi_join(spark, d):
     reads = _reads(spark, d)
-    rows = kmers.with_root(kmers.kmers(reads, CFG.k, ("id", "kind")), CFG.k)
+    rows = kmers.with_root(kmers.occurrences(reads, CFG.k, ("id", "kind")), CFG.k)
     return prune.pruned(rows, prune.repeated_roots(reads, CFG.k)).groupBy("id", "kind").agg(F.count("*").alias("kmers"), F.countDistinct("root").alias("roots"))
 
 
+def pruned_counts(spark, d):
+    """Counts of occurrences whose root was seen to repeat before anything was counted."""
+    reads = _reads(spark, d)
+    table = count.root_table(reads, CFG, once=True, roots=prune.repeated_roots(reads, CFG.k))
+    return count.kmer_counts(table, CFG).select("kmer", "n", "t")
+
+
 def stem_counts(spark, d):
-    return count.stem_counts(_table(spark, d), CFG)
+    return _root_text(_root_text(count.stem_counts(_table(spark, d), CFG)), "stem")
 
 
 def prefiltered_roots(spark, d):
-    return count.prefiltered(_table(spark, d), CFG).select("root", "total", F.size("cells").cast("long").alias("kmers"))
+    seen = (F.col("a_n") + F.col("a_t") > 0).cast("long") + (F.col("b_n") + F.col("b_t") > 0).cast("long")
+    return _root_text(count.prefiltered(_table(spark, d), CFG).groupBy("root").agg(F.max("total").alias("total"), F.sum(seen).alias("kmers")))
 
 
 def candidate_kmers(spark, d):
-    return count.candidates(_table(spark, d), CFG).select("kmer", "n", "t", "n_rc", "t_rc")
+    return count.candidates_of(_reads(spark, d), CFG).select("kmer", "n", "t", "n_rc", "t_rc")
 
 
 def candidate_kmers_k30(spark, d):
-    return count.candidates(_table(spark, d, DEFAULT_K), DEFAULT_K).select("kmer", "n", "t", "n_rc", "t_rc")
+    return count.candidates_of(_reads(spark, d), DEFAULT_K).select("kmer", "n", "t", "n_rc", "t_rc")
 
 
 def export_range(spark, d):
@@ -169,10 +187,10 @@ def filter_sizes(spark, d):
 
 def merge_partitions(spark, d):
     """Indexes built for four partitions of the candidates' roots, merged: their rows."""
-    reads = _reads(spark, d)
-    found = count.candidates(_table(spark, d), CFG).select("root", "kmer").persist()
-    parts = [index.indexes(reads, found.filter(merge.partition_of("root", 4) == p), CFG) for p in range(4)]
-    ix = merge.merged(parts, CFG)
+    reads, found = _candidates(spark, d)
+    found = found.withColumn("part", merge.partition_of("root", 4))
+    ix = index.indexes(reads, found, CFG, ("part",), keep=lambda df: df.persist())
+    ix = merge.merged([index.Indexes(ix.seq.drop("part"), ix.k2i.drop("part"), ix.i2p.drop("part"))], CFG)
     seq = ix.seq.select(F.lit("seq").alias("index"), "set", F.col("id").alias("key"), F.col("seq").alias("value"))
     by_kmer = ix.k2i.select(F.lit("k2i").alias("index"), "set", F.col("kmer").alias("key"), F.col("id").alias("value"))
     by_place = ix.i2p.select(F.lit("i2p").alias("index"), F.lit("tm").alias("set"), F.col("id").alias("key"), F.concat("dir", F.col("pos").cast("string")).alias("value"))
@@ -225,7 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         read_quality_filter, low_quality_histogram, n_split_segments, kmer_explode, revcomp_reads, encode_stems, canonical_roots, partition_code, kmer_counts,
-        kmer_counts_nocache, kmer_counts_k30, repeated_roots, prune_semi_join, stem_counts, prefiltered_roots, candidate_kmers, candidate_kmers_k30, export_range, annotate_kmers,
+        kmer_counts_nocache, kmer_counts_k30, repeated_roots, prune_semi_join, pruned_counts, stem_counts, prefiltered_roots, candidate_kmers, candidate_kmers_k30, export_range, annotate_kmers,
         count_stats, count_stats_distinct, count_histogram, index_seq, index_k2i, k2i_capped, index_i2p, i2p_bitmap, i2p_positions, filter_sizes, merge_partitions, to_fastq,
         group_leads, group_leads_window, group_kmers, group_kmers_rocks, group_reads, group_documents, group_sets, group_selection_stats, group_count,
     )

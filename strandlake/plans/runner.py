@@ -94,14 +94,14 @@ class Run:
     # count
 
     def count_run(self) -> None:
-        table = self.own(count.root_table(self.reads(), self.cfg))
-        if self.roots is not None:
-            table = prune.pruned(table, self.roots)
-            self.roots.unpersist()
-            self.roots = None
+        table = self.own(count.root_table(self.reads(), self.cfg, roots=self.roots))
         if self.cfg.prefilter:
             table = count.prefiltered(table, self.cfg)
         self.table = table.persist()
+        if self.roots is not None:
+            self.table.count()  # the set is no longer needed behind it
+            self.roots.unpersist()
+            self.roots = None
 
     def count_dump(self) -> None:
         tables.dump(self.need_table(), f"{self.cfg.path('count')}/count.{self.cfg.pid}")
@@ -125,10 +125,8 @@ class Run:
 
     def filter_run(self) -> None:
         found = count.candidates(self.need_table(), self.cfg).select("root", "kmer").persist()
-        reads = self.reads()
-        ix = index.indexes(reads, found, self.cfg)
-        by_kmer, by_place = ix.k2i.persist(), ix.i2p.persist()
-        self.ix = Indexes(index.seq(reads, by_kmer, by_place).persist(), by_kmer, by_place)
+        ix = index.indexes(self.reads(), found, self.cfg, keep=lambda df: df.persist())
+        self.ix = Indexes(ix.seq.persist(), ix.k2i, ix.i2p)
 
     def filter_dump(self) -> None:
         ix = self.ix or self.need_indexes()

@@ -26,11 +26,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes from fewer files than there are.
+def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions than there are, or too few bytes for them.
 
-    A file that can't be split would be exploded by one task; a large input has files
-    enough and is not shuffled.
+    Partitions of a small file may share one row group, which a single task would explode.
+    A large input has partitions enough and is not shuffled; its files aren't listed here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    plan = df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) < cores * least_bytes
+    return df.repartition(cores) if small or plan.toRdd().getNumPartitions() < cores else df

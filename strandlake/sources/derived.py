@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
 from ..session import spread
 
 #: Fixed values of the projection: letters and digits, the bases and the quality they become.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BASES = "ACGTACGTACGTACGTACGTACGTACNNNNNNNNNN"
 QUALITY = "IIIIIIIII!!IIIII!IIIIII!I!##########"
+#: ASCII that is neither a letter nor a digit.
+PLAIN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, kind, seq, qual) in chunks of 100 characters; kind is the document id's parity."""
     docs = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text"))
-    s = docs.select("doc_id", F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")).alias("s")).filter(F.length("s") > 0)
-    parts = s.select("doc_id", "s", F.explode(F.expr("sequence(0, (length(s) + 99) div 100 - 1)")).alias("j"))
-    parts = parts.select("doc_id", "j", F.expr("substring(s, 1 + 100 * cast(j as int), 100)").alias("s"))
+    # Most of what is no letter or digit goes without a regular expression.
+    s = docs.select("doc_id", F.lower(F.regexp_replace(F.translate("text", PLAIN, ""), "[^A-Za-z0-9]+", "")).alias("s")).filter(F.length("s") > 0)
+    # Bytes are cut at their place; a string would be walked from its start for each chunk.
     turned = F.expr("(doc_id div 2) % 2 = 1")
-    base, qual = F.translate("s", SYMBOLS, BASES), F.translate("s", SYMBOLS, QUALITY)
-    return parts.select(
-        F.expr("concat('d', doc_id, '.', j)").alias("id"), F.expr("cast(doc_id % 2 as int)").alias("kind"),
-        F.when(turned, reverse_complement(base)).otherwise(base).alias("seq"), F.when(turned, F.reverse(qual)).otherwise(qual).alias("qual"),
-    )
+    base = F.when(turned, F.translate("s", SYMBOLS, BASES.translate(str.maketrans("ACGT", "TGCA")))).otherwise(F.translate("s", SYMBOLS, BASES))
+    s = s.select("doc_id", base.cast("binary").alias("base"), F.translate("s", SYMBOLS, QUALITY).cast("binary").alias("qual"))
+    parts = s.select("doc_id", "base", "qual", F.explode(F.expr("sequence(0, (octet_length(base) + 99) div 100 - 1)")).alias("j"))
+    part = lambda c: F.expr(f"cast(substring({c}, cast(1 + 100 * j as int), 100) as string)").alias(c)
+    parts = parts.select("doc_id", "j", part("base"), part("qual"))
+    ahead = lambda c: F.when(turned, F.reverse(c)).otherwise(F.col(c))
+    return parts.select(F.expr("concat('d', doc_id, '.', j)").alias("id"), F.expr("cast(doc_id % 2 as int)").alias("kind"), ahead("base").alias("seq"), ahead("qual").alias("qual"))

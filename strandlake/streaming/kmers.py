@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators.kmers import kmers, quality_filtered
+from ..operators.kmers import occurrences, quality_filtered, text
 
 SCHEMA = "id string, kind int, seq string, qual string"
 
@@ -23,5 +23,5 @@ def arriving(spark: SparkSession, folder: str, files_at_once: int = 100) -> Data
 
 def growing_counts(reads: DataFrame, cfg: Config) -> DataFrame:
     """(kmer, n, t) so far, with unsaturated counters; write in ``complete`` or ``update`` mode."""
-    rows = kmers(quality_filtered(reads, cfg.check_quality), cfg.k, ("kind",))
-    return rows.groupBy("kmer").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("n"), F.count(F.when(F.col("kind") == 1, 1)).alias("t"))
+    rows = occurrences(quality_filtered(reads, cfg.check_quality), cfg.k, ("kind",)).groupBy("kmer").agg(F.count(F.when(F.col("kind") == 0, 1)).alias("n"), F.count(F.when(F.col("kind") == 1, 1)).alias("t"))
+    return rows.withColumn("kmer", text(F.col("kmer"), cfg.k, cfg.k))

@@ -118,7 +118,9 @@ def test_entry(spark):
 
 
 def test_plans(spark):
-    """Columns are pruned at the scan, and counting takes two exchanges."""
-    plan = entry.queries()["candidate_kmers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and plan.count("Exchange hashpartitioning") == 2
-    assert "Python" not in plan and "Arrow" not in plan
+    """Columns are pruned at the scan, candidates take one exchange and totals of roots a second."""
+    plan = lambda name: entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for name, exchanges in (("candidate_kmers", 1), ("kmer_counts", 2), ("prefiltered_roots", 2), ("stem_counts", 2), ("count_stats", 2)):
+        text = plan(name)
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in text and text.count("Exchange hashpartitioning") == exchanges, name
+        assert "Python" not in text and "Arrow" not in text

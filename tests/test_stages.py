@@ -74,7 +74,7 @@ def test_indexes_read_by_read(spark, rows, seed, k, b, cache):
     reads = kmers.quality_filtered(rows(data, SCHEMA)).persist()
     counts, cand, k2i, i2p = plain(data, cfg)
     table = count.root_table(reads, cfg).persist()
-    assert {r.kmer: (r.n, r.t) for r in count.kmer_counts(table).collect()} == counts
+    assert {r.kmer: (r.n, r.t) for r in count.kmer_counts(table, cfg).collect()} == counts
     found = count.candidates(table, cfg).persist()
     assert {r.kmer: (r.n, r.t, r.n_rc, r.t_rc) for r in found.collect()} == cand
     ix = index.indexes(reads, found, cfg)
@@ -106,13 +106,13 @@ def test_cache_and_prune_only_drop_roots_seen_once(spark, rows):
     h = lambda t: sum(r.stems for r in count.histograms(t, cfg).collect())
     assert h(without) - h(with_) == gone[0]
     f = prune.bloom(prune.repeated_roots(reads, 6).select("root"), 1000, 0.05)
-    assert all(f.mightContainString(r.root) for r in with_.select("root").collect())
+    assert all(f.mightContainLong(r.root) for r in with_.select("root").collect())
 
 
 def test_saturation_comes_after_the_total(spark):
     reads = spark.range(70000).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("kind"), F.lit("ACGTAC").alias("seq"), F.lit(None).cast("string").alias("qual"))
-    row = count.root_table(reads, Config(k=6)).first()
-    assert row.total == 70000 and [(c.kmer, c.n, c.t) for c in row.cells] == [("ACGTAC", 0, 65535)]
+    table = count.root_table(reads, Config(k=6))
+    assert table.first().total == 70000 and [(r.kmer, r.n, r.t) for r in count.kmer_counts(table, Config(k=6)).collect()] == [("ACGTAC", 0, 65535)]
 
 
 def test_export_and_annotation(spark, rows):
@@ -170,3 +170,14 @@ def test_places_beyond_50_and_repeated_kmers(spark, rows):
     assert sorted(r.pos for r in limited) == [44, 45, 46, 47, 48, 50] and {r.kept_t for r in limited} == {6}
     assert {r.kept_t for r in group.kmer_table(ix, cfg, None, per_entry=True).collect()} == {1} and len(group.kmer_table(ix, cfg, None).collect()) == 8
     assert group.groups(ix, cfg).first().pos_a == [44, 45, 46, 47, 48, 50, 51, 52]
+
+
+@pytest.mark.parametrize("k", [3, 16, 17, 30, 31, 32, 40])
+def test_keys_of_any_width(spark, rows, k):
+    rng = random.Random(k)
+    data = [(f"r{i}", i % 2, "".join(rng.choice("ACGTACGTACGTACGTN" if i % 3 else "ACGT") for _ in range(rng.randrange(0, 130))), None) for i in range(80)]
+    data += [("all-t", 0, "T" * 70, None), ("all-a", 1, "A" * 70, None), ("exact", 0, "G" * k, None), ("short", 0, "G" * (k - 1), None)]
+    want = sorted((i, j, s[j : j + k], rc(s[j : j + k]), min(s[j + 1 : j + k - 1], rc(s[j + 1 : j + k - 1]))) for i, _, s, _ in data for j in range(len(s) - k + 1) if "N" not in s[j : j + k])
+    got = kmers.with_root(kmers.occurrences(rows(data, SCHEMA), k), k)
+    got = got.select("id", "at", *[kmers.text(F.col(c), n, k) for c, n in (("kmer", k), ("rc", k), ("root", k - 2))])
+    assert sorted(map(tuple, got.collect())) == want
