@@ -19,6 +19,10 @@ from ..functions import sequence as S
 from .kmers import key, occurrences, own, segment_place, with_root
 
 
+#: Rows that may be broadcast: some 20 MB of k-mers or ids.
+FEW = 200_000
+
+
 @dataclass
 class Indexes:
     seq: DataFrame
@@ -30,47 +34,54 @@ def set_of(kind):
     return F.when(kind == 0, "nn").otherwise("tn")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if a look shows that there are at most ``FEW``.
+
+    Without the look Spark would shuffle the other side, all occurrences, before it knows.
+    ``rows`` should be persisted: the look computes them.
+    """
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def hits(reads: DataFrame, candidates: DataFrame, cfg: Config, tags: tuple[str, ...] = ()) -> DataFrame:
-    """(set, kmer, id, dir, pos, tags): every place where a read meets a candidate's root.
+    """(root, id, kind, len, split, at, kmer, rc, candidate, key, tags): every place where a read
+    meets a candidate's root.
 
-    The reads are cut into k-mers once, for both indexes.  ``dir`` and ``pos`` are null
-    where the candidate itself stands on neither strand.  Places count from the start of
-    the segment; on strand b from the read's other end.
+    The reads are cut into k-mers once, for both indexes; ``split`` is the sequence of a
+    read with N.  Where candidates are many, Spark splits frequent roots.
     """
-    k = cfg.k
     cut = reads.select("id", "kind", "seq", F.length("seq").alias("len"), F.when(F.contains("seq", F.lit("N")), F.col("seq")).alias("split"))
-    rows = with_root(occurrences(cut, k, ("id", "kind", "len", "split")), k)
-    # Spark broadcasts the candidates if they are few, and else splits frequent roots.
-    wanted = candidates.select("root", F.col("kmer").alias("candidate"), key(F.col("kmer"), k).alias("key"), *tags)
-    met = rows.join(wanted, "root")
-    place = F.when(F.col("split").isNull(), F.col("at")).otherwise(segment_place(F.col("split"), F.col("at")))
-    side = F.when(F.col("kmer") == F.col("key"), "a").when((F.col("rc") == F.col("key")) & ~own(F.col("kmer"), F.col("rc"), k), "b")
-    met = met.select(set_of(F.col("kind")).alias("set"), F.col("candidate").alias("kmer"), "id", side.alias("dir"), place.alias("place"), "len", *tags)
-    pos = F.when(F.col("dir") == "a", F.col("place")).when(F.col("dir") == "b", F.col("len") - k - F.col("place"))
-    return met.select("set", "kmer", "id", "dir", pos.alias("pos"), *tags)
+    rows = with_root(occurrences(cut, cfg.k, ("id", "kind", "len", "split")), cfg.k)
+    return rows.join(few(candidates.select("root", F.col("kmer").alias("candidate"), key(F.col("kmer"), cfg.k).alias("key"), *tags)), "root")
 
 
 def k2i(met: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
-    return met.select("set", "kmer", "id", *tags).distinct()
+    return met.select(set_of(F.col("kind")).alias("set"), F.col("candidate").alias("kmer"), "id", *tags).distinct()
 
 
-def i2p(met: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
-    return met.filter("set = 'tn' and dir is not null").select("id", "dir", "pos", *tags).distinct()
+def i2p(met: DataFrame, cfg: Config, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Places count from the start of the segment; on strand b from the read's other end."""
+    ahead = F.col("kmer") == F.col("key")
+    behind = (F.col("rc") == F.col("key")) & ~own(F.col("kmer"), F.col("rc"), cfg.k)
+    place = F.when(F.col("split").isNull(), F.col("at")).otherwise(segment_place(F.col("split"), F.col("at")))
+    rows = met.filter((F.col("kind") == 1) & (ahead | behind))
+    pos = F.when(ahead, place).otherwise(F.col("len") - cfg.k - place)
+    return rows.select("id", F.when(ahead, "a").otherwise("b").alias("dir"), pos.alias("pos"), *tags).distinct()
 
 
 def seq(reads: DataFrame, by_kmer: DataFrame, by_place: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
     """Duplicate ids keep the least sequence of their kind."""
     ids = by_kmer.select("set", "id", *tags).unionByName(by_place.select(F.lit("tm").alias("set"), "id", *tags)).distinct()
     known = reads.select("id", "seq", F.explode(F.when(F.col("kind") == 0, F.array(F.lit("nn"))).otherwise(F.array(F.lit("tn"), F.lit("tm")))).alias("set"))
-    return known.join(ids, ["set", "id"]).groupBy("set", "id", *tags).agg(F.min("seq").alias("seq"))
+    return known.join(few(ids), ["set", "id"]).groupBy("set", "id", *tags).agg(F.min("seq").alias("seq"))
 
 
 def indexes(reads: DataFrame, candidates: DataFrame, cfg: Config, tags: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Indexes:
     """``tags`` are columns of the candidates that all rows carry on; ``keep`` may persist
-    what several indexes are made from (the hits, k2i and i2p are small, the reads aren't)."""
-    met = keep(hits(reads, candidates, cfg, tags))
-    by_kmer, by_place = keep(k2i(met, tags)), keep(i2p(met, tags))
-    return Indexes(seq(reads, by_kmer, by_place, tags), by_kmer, by_place)
+    what several indexes are made from (all but the reads is small)."""
+    met = keep(hits(reads, keep(candidates), cfg, tags))
+    by_kmer, by_place = keep(k2i(met, tags)), keep(i2p(met, cfg, tags))
+    return Indexes(keep(seq(reads, by_kmer, by_place, tags)), by_kmer, by_place)
 
 
 def capped(by_kmer: DataFrame, most: int) -> DataFrame:

@@ -124,9 +124,8 @@ class Run:
     # filter
 
     def filter_run(self) -> None:
-        found = count.candidates(self.need_table(), self.cfg).select("root", "kmer").persist()
-        ix = index.indexes(self.reads(), found, self.cfg, keep=lambda df: df.persist())
-        self.ix = Indexes(ix.seq.persist(), ix.k2i, ix.i2p)
+        found = count.candidates(self.need_table(), self.cfg).select("root", "kmer")
+        self.ix = index.indexes(self.reads(), found, self.cfg, keep=lambda df: df.persist())
 
     def filter_dump(self) -> None:
         ix = self.ix or self.need_indexes()
