@@ -2,7 +2,8 @@
 
 A leader is a tumor read without N that has ``window_min`` candidate places within
 ``window_len`` bases in one direction.  Its group: the k-mers at its places, and the
-reads of k2i that hold them, unless a k-mer has more than ``max_group_reads``.
+reads of k2i that hold them, unless a k-mer has more than ``max_group_reads``.  Of a run
+in several processes, each forms the groups of its own leaders.
 """
 
 from __future__ import annotations
@@ -13,17 +14,23 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import sequence as S
 from .filter import Indexes
+from .merge import partition_of
 
 
-def positions(ix: Indexes) -> DataFrame:
+def own_leads(rows: DataFrame, cfg: Config) -> DataFrame:
+    """The rows that this process looks for leaders in, where a run is dealt to several."""
+    return rows if cfg.num_partitions == 1 else rows.filter(partition_of("id", cfg.num_partitions) == cfg.pid)
+
+
+def positions(ix: Indexes, cfg: Config) -> DataFrame:
     """(id, dir, positions, seq) of i2p reads with a sequence, positions ascending."""
-    rows = ix.i2p.groupBy("id", "dir").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    rows = own_leads(ix.i2p, cfg).groupBy("id", "dir").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
     return rows.join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id")
 
 
 def leads(ix: Indexes, cfg: Config) -> DataFrame:
     """(id, dir, positions, seq) of the directions that make their read a leader."""
-    rows = positions(ix).filter(S.leads_possible(F.col("seq")))
+    rows = positions(ix, cfg).filter(S.leads_possible(F.col("seq")))
     return rows.filter(S.dense(F.col("positions"), cfg.window_min, cfg.window_len))
 
 
@@ -31,7 +38,7 @@ def leads_by_window(ix: Indexes, cfg: Config) -> DataFrame:
     """The same leaders by a window function over places: (id, dir)."""
     from pyspark.sql import Window
 
-    able = ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id")
+    able = own_leads(ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id"), cfg)
     order = Window.partitionBy("id", "dir").orderBy("pos")
     ahead = ix.i2p.join(able, "id").withColumn("ahead", F.lead("pos", cfg.window_min - 1).over(order))
     return ahead.filter(F.col("ahead") - F.col("pos") < cfg.window_len).select("id", "dir").distinct()
@@ -113,6 +120,8 @@ def selection_stats(ix: Indexes, cfg: Config) -> DataFrame:
     match = lambda d: F.max(F.when(F.col("dir") == d, S.dense(F.col("positions"), cfg.window_min, cfg.window_len).cast("int")).otherwise(0))
     per_read = rows.groupBy("id").agg(match("a").alias("a"), match("b").alias("b")).join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id", "left")
     exists, mapped = F.col("seq").isNotNull(), F.coalesce(S.leads_possible(F.col("seq")), F.lit(False))
+    if cfg.num_partitions > 1:  # every process looks at all reads and maps its own
+        mapped = mapped & (partition_of("id", cfg.num_partitions) == cfg.pid)
     total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
     return per_read.agg(
         F.count("*").alias("iterated"), total(exists).alias("existing"), total(mapped).alias("mapped"), total(mapped & (F.col("a") == 1)).alias("match_a"), total(mapped & (F.col("b") == 1)).alias("match_b")

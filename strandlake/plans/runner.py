@@ -65,7 +65,9 @@ class Run:
     def reads(self) -> DataFrame:
         raw = self.given
         if raw is None:
-            raw = fastq.reads(self.spark, self.cfg.input_normal, self.cfg.input_tumor, self.cfg.input_format)
+            # As many loaders as the command line names share a BAM file that has an index.
+            options = {"splits": self.cfg.num_loaders} if self.cfg.input_format == "bam" else {}
+            raw = fastq.reads(self.spark, self.cfg.input_normal, self.cfg.input_tumor, self.cfg.input_format, **options)
         return kmers.quality_filtered(raw, self.cfg.check_quality)
 
     def own(self, df: DataFrame, column: str = "root") -> DataFrame:
@@ -118,8 +120,8 @@ class Run:
     def count_annotate(self) -> None:
         raw = fastq.fastq(self.spark, self.cfg.annotate_input).selectExpr("id", "seq", "qual", "0 kind")
         reads = kmers.quality_filtered(raw, check=False)
-        rows = count.annotated(reads, self.need_table(), self.cfg)
-        tables.write_annotation(rows, reads, f"{self.cfg.path('count')}/annotate.{self.cfg.pid}.json")
+        rows = tables.annotation(reads, lambda df, keep: count.annotated(df, self.need_table(), self.cfg, keep))
+        tables.write_annotation(rows, f"{self.cfg.path('count')}/annotate.{self.cfg.pid}.json")
 
     # filter
 

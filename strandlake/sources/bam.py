@@ -159,8 +159,8 @@ class BamReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [c for p in self.paths for c in chunks(p, self.splits)]
 
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        yield from read_chunk(partition)
+    def read(self, partition: Chunk) -> Iterator:
+        yield from files.batches(read_chunk(partition))
 
 
 class BamSource(DataSource):

@@ -113,8 +113,8 @@ class FastqReader(DataSourceReader):
                 out += [Range(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
         return out
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        yield from read_range(partition)
+    def read(self, partition: Range) -> Iterator:
+        yield from files.batches(read_range(partition))
 
 
 class FastqSource(DataSource):

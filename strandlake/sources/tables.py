@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import struct
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,22 @@ def write_counts_csv(rows: DataFrame, path: str) -> None:
     rows.select("kmer", "n", "t").write.mode("overwrite").csv(path, header=False)
 
 
-def write_annotation(rows: DataFrame, reads: DataFrame, path: str) -> None:
-    """JSON lines: {"id": .., "seq": .., "kmers": {"place": [n, t]}}."""
+def annotation(reads: DataFrame, annotated: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """(id, seq, kmers): the map of places to [n, t] of each read.
+
+    ``annotated`` gives (keep, at, n, t) of reads' places.  Reads that share an id, as mates
+    may, are told apart by their sequence; equal reads get equal maps.
+    """
+    keyed = reads.withColumn("_read", F.xxhash64("seq"))
     entry = F.struct(F.col("at").cast("string"), F.array("n", "t"))
-    found = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("kmers"))
-    out = reads.select("id", "seq").join(found, "id", "left")
-    out.select("id", "seq", F.coalesce("kmers", F.create_map().cast("map<string,array<bigint>>")).alias("kmers")).write.mode("overwrite").json(path)
+    found = annotated(keyed.dropDuplicates(["id", "_read"]), ("id", "_read")).groupBy("id", "_read").agg(F.map_from_entries(F.collect_list(entry)).alias("kmers"))
+    out = keyed.join(found, ["id", "_read"], "left")
+    return out.select("id", "seq", F.coalesce("kmers", F.create_map().cast("map<string,array<bigint>>")).alias("kmers"))
+
+
+def write_annotation(rows: DataFrame, path: str) -> None:
+    """JSON lines: {"id": .., "seq": .., "kmers": {"place": [n, t]}}."""
+    rows.write.mode("overwrite").json(path)
 
 
 def plain_lines(ix: Indexes, most: int) -> dict[str, DataFrame]:

@@ -92,7 +92,8 @@ def test_paths(tmp_path, monkeypatch):
     for n in "ab":
         (tmp_path / f"{n}.fq").write_text("")
     monkeypatch.setenv("HERE", str(tmp_path))
-    assert files.expand("$HERE/*.fq  s3://x/y*") == [f"{tmp_path}/a.fq", f"{tmp_path}/b.fq", "s3://x/y*"]
+    assert files.expand("$HERE/*.fq  s3://x/y.fq") == [f"{tmp_path}/a.fq", f"{tmp_path}/b.fq", "s3://x/y.fq"]
+    assert files.expand(f"file://{tmp_path}/*.fq file://{tmp_path}/c*") == [f"file://{tmp_path}/a.fq", f"file://{tmp_path}/b.fq", f"file://{tmp_path}/c*"]
     assert files.expand("$(ls) ") == ["$(ls)"]
 
 
