@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fmix, grams, map_texts, slices, small_batches, stage, text_buffer, words_of
+from .common import U64, carried, fmix, grams, map_texts, slices, small_batches, stage, text_buffer, words_of
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
 BUCKET_BITS, FLOOR = 18, 2.0**-9
@@ -195,7 +195,7 @@ _KEYS = [f"b{i}" for i in range(BANDS)]
 
 
 def signatures(documents: DataFrame, sampler) -> DataFrame:
-    """(doc_id, node, b0 .. ): a text's node and band keys; no keys without words, no node without text."""
+    """(doc_id, text_hash, node, b0 .. ): a text's node and band keys; no keys without words, no node without text."""
 
     def work(batch: pa.RecordBatch) -> pa.Table:
         raw, offsets = text_buffer(batch["text"])
@@ -213,9 +213,9 @@ def signatures(documents: DataFrame, sampler) -> DataFrame:
                     nodes.append(hashlib.md5(b"text" + text).digest() if text else None)
             none[i + some] = False
         columns = [pa.array(keys[:, b].view(np.int64), pa.int64(), mask=none) for b in range(BANDS)]
-        return pa.Table.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(nodes, pa.binary()), *columns], ["doc_id", "node", *_KEYS])
+        return pa.Table.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text_hash"], pa.array(nodes, pa.binary()), *columns], ["doc_id", "text_hash", "node", *_KEYS])
 
-    return map_texts(documents.select("doc_id", "text"), work, "doc_id long, node binary, " + ", ".join(f"{b} long" for b in _KEYS))
+    return map_texts(documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), work, "doc_id long, text_hash long, node binary, " + ", ".join(f"{b} long" for b in _KEYS))
 
 
 def meetings(signed: DataFrame) -> DataFrame:
@@ -416,7 +416,8 @@ def still_open(members: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id, class_size, node): class_id is the least id of the class."""
+    """(doc_id, class_id, class_size, node, label, text_hash): class_id is the least id of the
+    class, label its name whatever the ids, text_hash tells apart the texts of an id."""
     spark = documents.sparkSession
     small_batches(spark)
     weight = shares(documents)
@@ -442,29 +443,33 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
         links = stage(rest_links(members, sets, table, least), "links")
         if not links.isEmpty():
             labels = joined_classes(labels, count, links)
-    labelled = signed.select("doc_id", "node").join(shipped(labels, count, 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = signed.select("doc_id", "text_hash", "node").join(shipped(labels, count, 64), "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled, "labelled")
     ids = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     ids = stage(ids.filter("class_size > 1"), "class-ids")
     out = labelled.join(shipped(ids, ids.count(), 48), "label", "left")
     alone = F.col("class_size").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node")
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node", "label", "text_hash")
 
 
 def without_near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of each class, all columns: the one of least id.
 
-    Rows without an id stay; of rows that repeat an id, one stays.  An id is taken to
-    name one text.
+    Rows without an id stay.  Where an id has several texts, each is judged by its own class;
+    of rows that repeat both id and text, and have a class with others, one stays.
     """
-    found = classes(documents.select("doc_id", "text"), least)
-    found = stage(found.filter("class_size > 1 and doc_id is not null").select("doc_id", "class_id"), "copies")
-    gone = stage(found.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    again = stage(found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
-    columns = [f"`{c}`" for c in documents.columns]
-    kept = documents.join(shipped(gone, gone.count(), 24), "doc_id", "left_anti")
+    found = classes(documents.select("doc_id", "text"), least).filter("class_size > 1 and doc_id is not null")
+    found = stage(found.select("label", "doc_id", "text_hash"), "copies")
+    row = F.struct("doc_id", "text_hash")
+    first = stage(found.groupBy("label").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    met = found.join(shipped(first, first.count(), 64), "label")
+    gone = stage(met.filter(row != F.col("first")).select("doc_id", "text_hash").distinct(), "gone")
+    again = stage(met.filter(row == F.col("first")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash"), "again")
+    key = ["doc_id", "text_hash"]
+    inner, _, back = carried(documents, "doc_id", "text")
+    kept = inner.withColumn("text_hash", F.xxhash64("text")).join(shipped(gone, gone.count(), 32), key, "left_anti")
     if again.isEmpty():
-        return kept.select(*columns)
-    again = shipped(again, again.count(), 24)
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*columns)
+        return back(kept)
+    again = shipped(again, again.count(), 32)
+    repeated = kept.join(again, key, "left_semi").dropDuplicates(key)
+    return back(kept.join(again, key, "left_anti").unionByName(repeated))
