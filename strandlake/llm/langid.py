@@ -2,8 +2,8 @@
 
 A word is a run of a-z (A-Z lower-cased with Unicode rules beforehand) and non-ASCII
 bytes.  A known word adds each language's log frequency of it.  For an unseen word the
-longest n-grams are tried, marks at its ends included; if none of its n-grams of that
-length is known, those of n - 1 bytes are, down to single bytes.  The known ones add
+longest character n-grams are tried, marks at its ends included; if none of its n-grams of
+that length is known, those of n - 1 characters are, down to single ones.  The known ones add
 their mean log frequency.  The greatest sum is the prediction; ``score`` is its
 probability with the evidence of at most ``trust`` words.
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_sample, fmix, map_texts, run_hashes, runs, slices, small_batches, spaced, split_of, text_buffer
+from .common import U64, bounded_sample, map_texts, run_hashes, runs, slices, small_batches, spaced, split_of, text_buffer
 
 LONGEST, SAMPLE, SAMPLE_BYTES, TRUST = 5, 4000, 8192, 20
 _LETTER = np.zeros(256, np.uint8)
@@ -45,14 +45,15 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _parts(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-byte parts of words with a mark at either end, and the word of each."""
-    lo, count = starts - 1, np.maximum(ends - starts + 2 - n + 1, 0)
+    """Keys of the n-character parts of words with a mark at either end, and the word of each."""
+    first = (mapped & 0xC0) != 0x80  # of a UTF-8 character; marks are the zero bytes around a word
+    at = np.append(np.flatnonzero(first), len(mapped))
+    nth = np.cumsum(first) - 1
+    lo, hi = nth[starts - 1], nth[ends]
+    count = np.maximum(hi - lo + 2 - n, 0)
     word = np.repeat(np.arange(len(starts)), count)
     pos = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + lo[word]
-    padded = np.zeros(len(mapped) + 8, np.uint8)
-    padded[: len(mapped)] = mapped
-    eight = np.ndarray(len(mapped) + 1, "<u8", padded, strides=(1,))
-    return fmix((eight[pos] & U64((1 << (8 * n)) - 1)) + U64(n << 56)), word
+    return run_hashes(mapped, at[pos], at[pos + n], n), word
 
 
 class Frequencies:
