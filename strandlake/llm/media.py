@@ -159,24 +159,41 @@ def _huffman(counts: bytes, symbols: bytes) -> Huffman:
     return Huffman(counts, symbols)
 
 
+def _enough(data: bytes, bits: int) -> np.ndarray:
+    """The bytes of a scan, which must hold so many bits."""
+    if len(data) * 8 < bits:
+        raise ValueError("the scan ends too early")
+    return np.frombuffer(data, np.uint8)
+
+
 class Bits:
+    """Fields of a scan, from its first bit to its last; each look touches four bytes."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data + b"\xff\xff\xff\xff", "big"), len(data) * 8 + 32
+        self.data, self.at, self.end = data + b"\xff\xff\xff\xff", 0, len(data) * 8
+
+    def _advance(self, n: int) -> None:
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("the scan ends too early")
+
+    def _sixteen(self) -> int:
+        i = self.at >> 3
+        return int.from_bytes(self.data[i : i + 4], "big") >> (16 - (self.at & 7)) & 0xFFFF
 
     def take(self, n: int) -> int:
         if n == 0:
             return 0
-        self.left -= n
-        if self.left < 0:
-            raise ValueError("the scan ends too early")
-        return self.value >> self.left & ((1 << n) - 1)
+        value = self._sixteen() >> (16 - n)
+        self._advance(n)
+        return value
 
     def symbol(self, table: Huffman) -> int:
         length, symbol = table.lists()
-        at = self.value >> (self.left - 16) & 0xFFFF if self.left >= 16 else (self.value << (16 - self.left)) & 0xFFFF
+        at = self._sixteen()
         if not length[at]:
             raise ValueError("no such code")
-        self.left -= length[at]
+        self._advance(length[at])
         return symbol[at]
 
     def signed(self, n: int) -> int:
@@ -250,6 +267,8 @@ class Image:
         order = self.order([p for p, _, _ in parts])
         step = self.restart * (order.shape[1] if n > 1 else 1) or order.size
         flat = order.reshape(-1, 2)
+        if len(pieces) * step < len(flat):
+            raise ValueError("the scan ends too early")
         for i, piece in enumerate(pieces):
             rows = flat[i * step : (i + 1) * step]
             if not len(rows):
@@ -275,7 +294,7 @@ class Image:
 
     def _dc(self, parts, rows: np.ndarray, data: bytes, high: int, low: int) -> None:
         if high:
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=len(rows)).astype(np.int32)
+            bits = np.unpackbits(_enough(data, len(rows)), count=len(rows)).astype(np.int32)
             for i, (p, _, _) in enumerate(parts):
                 mine = rows[:, 0] == i
                 p.coef[rows[mine, 1], 0] |= bits[mine] << low
@@ -299,9 +318,10 @@ class Image:
         at, start = 0, []
         for _ in range(n):
             start.append(at)
-            if not jump[at]:
-                raise ValueError("no such code")
+            if at >= len(jump) or not jump[at]:
+                raise ValueError("no such code, or the scan ends too early")
             at += jump[at]
+        _enough(data, at)
         p = np.array(start, np.int64)
         s, q = size[p], p + length[p]
         wide = np.append(window, np.full(32, 0xFFFF))
@@ -314,9 +334,9 @@ class Image:
             size, n = table.symbols[0] & 15, len(blocks) * (z - a + 1)
             wide = table.only + size
             if wide == 8:
-                v = np.frombuffer(data, np.uint8, n).astype(np.int32)
+                v = _enough(data, 8 * n)[:n].astype(np.int32)
             else:
-                bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * wide).reshape(n, wide)
+                bits = np.unpackbits(_enough(data, n * wide), count=n * wide).reshape(n, wide)
                 v = bits[:, table.only :].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
             v &= (1 << size) - 1
             v = np.where(v >> (size - 1), v, v - (1 << size) + 1)
@@ -345,7 +365,8 @@ class Image:
         n = z - a + 1
         band = p.coef[blocks, a : z + 1]
         if table.only and table.symbols[0] == 0 and np.all(band):
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=len(blocks) * (table.only + n)).reshape(len(blocks), -1)[:, table.only :]
+            every = len(blocks) * (table.only + n)
+            bits = np.unpackbits(_enough(data, every), count=every).reshape(len(blocks), -1)[:, table.only :]
             p.coef[blocks, a : z + 1] = band + np.sign(band) * (bits.astype(np.int32) << low)
             return
         bits, run, one = Bits(data), 0, 1 << low
