@@ -8,10 +8,12 @@ the text itself is such a character, so decoding gives back every text exactly.)
 
 N-best search.  Forward Viterbi gives the best score of reaching each place.  Backward
 A* from the end uses it as an exact estimate of what is still to come, so it pops only
-prefixes of answers, best first.  Scores are added as whole numbers (in doubles, exactly)
-and each edge adds a hash far below one unit of score, so equal scores are ordered the
-same way everywhere.  Stored scores at or below -1e8, which mark pieces that are never
-merged to, count as twice the lowest other.
+prefixes of answers, best first.  The search adds whole numbers (in doubles, exactly): scores
+in steps of 1/64, and for each edge a hash below 1/1024 that orders equal scores the same way
+everywhere.  So the order is exact where scores are whole, as in the vocabulary here, and
+paths differ in less than a thousand edges of a chunk.  What is reported as a path's score
+is the sum of its pieces' stored scores alone.  Stored scores at or below -1e8, which mark
+pieces that are never merged to, count as twice the lowest other.
 
 No piece holds a space mark behind another character or goes on after the end of a word
 (this is looked up in the vocabulary, not assumed), and many characters occur in no longer
@@ -44,7 +46,7 @@ from .common import map_texts, small_batches
 
 MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 1_000_000
 SPACE, OWN = "▁", "\udc81"  # OWN stands for a U+2581 of the text; no valid text holds it
-_UNIT, _LOW, _PLACES = 1 << 18, (1 << 12) - 1, 16  # a point of score; an edge's hash, by its place modulo 16
+_UNIT, _LOW, _PLACES = 1 << 22, (1 << 12) - 1, 16  # a point of score; an edge's hash, by its place modulo 16
 _NONE, _ALONE = (None, None, None), float("inf")  # the loss where there is no second path
 
 
@@ -62,6 +64,14 @@ class Vocabulary:
             self.edges[text] = self.weights(score if score > -1e8 else 2 * lowest, i), i.to_bytes(4, "little")
             self.spell[i] = text.replace(SPACE, " ").encode()
         self.lowest = lowest - unknown
+        # Points of each id; a character that is no piece has its points at its first byte.
+        self.points = np.zeros(size)
+        for _, i, score in pieces:
+            self.points[i] = score if score > -1e8 else 2 * lowest
+        for b, i in byte_ids.items():
+            self.points[i] = 0.0 if 0x80 <= b < 0xC0 else self.lowest
+        if not byte_ids:
+            self.points[0] = self.lowest
         longer = [t for t, _, _ in pieces if len(t) > 1]
         # A tree over characters: (deeper node, weights and ids of the piece that ends here), or None for each.
         self.tree: dict[str, tuple] = {}
@@ -230,12 +240,11 @@ class Encoder:
         if not text:
             return [(0.0, b"")]
         chunks = self.v.chunks.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE))
-        weights, path, losses = (list(x) for x in zip(*map(self.cache.__getitem__, chunks)))
+        _, path, losses = (list(x) for x in zip(*map(self.cache.__getitem__, chunks)))
         if len(self.cache) * 2 > self.most:
             self.cache.older = {}
             self.cache = Cache(self.v, self.cache)
-        best = sum(weights)
-        out = [(best, b"".join(path))]
+        out = [b"".join(path)]
         places = []
         for _ in range(self.n - 1):
             least = min(losses)
@@ -249,13 +258,16 @@ class Encoder:
             others = self._others(chunks[i])
             top = others[0][0]
             combined = heapq.nsmallest(self.n, ((loss + top - w, (*ranks, -r)) for loss, ranks in combined for r, (w, _) in enumerate(others)))
-        for loss, ranks in combined[1 : self.n]:
+        for _, ranks in combined[1 : self.n]:
             other = list(path)
             for i, r in zip(places, ranks):
                 if r:
                     other[i] = self._others(chunks[i])[-r][1]
-            out.append((best - loss, b"".join(other)))
-        return [(round(w / _UNIT, 3), ids) for w, ids in out]
+            out.append(b"".join(other))
+        return [(self.score(ids), ids) for ids in out]
+
+    def score(self, ids: bytes) -> float:
+        return round(float(self.v.points[np.frombuffer(ids, "<u4")].sum()), 6)
 
     def decode(self, ids: bytes) -> str:
         spell = self.v.spell
