@@ -54,7 +54,7 @@ class Ftrl:
 
     def weights(self, i) -> np.ndarray:
         z, n = self.z[i], self.n[i]
-        free = np.arange(len(self.z))[i] == len(self.z) - 1
+        free = np.asarray(i) == len(self.z) - 1
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         w = np.where(np.abs(z) <= self.l1, 0.0, w)
         return np.where(free, -z / ((self.beta + np.sqrt(n)) / self.alpha), w)
