@@ -9,11 +9,12 @@ took no part in the counts.
 
 Model.  Urls are lower-cased and folded to 40 symbols (a-z, one for all digits,
 ten for punctuation, one for the rest, start and end).  A context holds up to
-three symbols.  ``p(c | ctx) = (n(ctx c) + S p(c | shorter ctx)) / (n(ctx) + S)``
+five symbols.  ``p(c | ctx) = (n(ctx c) + S p(c | shorter ctx)) / (n(ctx) + S)``
 with ``S = strength``; the empty context backs off to the uniform 1/40.  A gram
 seen in no example takes its longest seen suffix.  The table holds one row for
-each seen gram of up to four symbols, so at most 40 + 40^2 + 40^3 + 40^4 rows
-whatever the corpus: that is the proven bound under which it is broadcast.
+each gram of up to six symbols that an example has, and grows with the examples;
+each length's part is broadcast where its counted rows are few enough (``SHIP_BYTES``),
+and met in a shuffle where they are not.
 
 Edge cases.  Null urls and urls without ``://``: host and path are empty, no rule
 fits, the verdict is the method's over the whole url.  A null or empty url has
@@ -31,7 +32,13 @@ from .common import stage
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 SYMBOLS = 40
-ORDER = 4
+ORDER = 6
+SHIP_BYTES = 32 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows, of some 64 bytes, stay under the bound."""
+    return F.broadcast(table) if table.count() * 64 <= SHIP_BYTES else table
 
 
 def host_of(url: Column) -> Column:
@@ -61,10 +68,10 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 
 def folded(url: Column) -> Column:
-    """Lower case, digits to 0, rare characters to *, between three ^ and a $."""
+    """Lower case, digits to 0, rare characters to *, between ORDER - 1 times ^ and a $."""
     text = F.lower(F.coalesce(url, F.lit("")))
     text = F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), r"(?s)[^a-z0./:?=&#%_-]", "*")
-    return F.when(F.length(text) > 0, F.concat(F.lit("^^^"), text, F.lit("$"))).otherwise(F.lit(""))
+    return F.when(F.length(text) > 0, F.concat(F.lit("^" * (ORDER - 1)), text, F.lit("$"))).otherwise(F.lit(""))
 
 
 def _positions(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -74,17 +81,17 @@ def _positions(df: DataFrame, keep: list[str]) -> DataFrame:
     return at.select(*keep, F.expr(f"substring(_text, _i, {ORDER})").alias("_g"))
 
 
-def gram_scores(examples: DataFrame, strength: float = 4.0) -> DataFrame:
-    """(gram, ratio): log p_accepted - log p_rejected of a gram's last symbol.
+def gram_scores(examples: DataFrame, strength: float = 4.0) -> list[DataFrame]:
+    """(gram, ratio) for each length: log p_accepted - log p_rejected of a gram's last symbol.
 
     ``examples`` has ``_text`` and ``_accepted``.  Counts of ORDER-grams are summed
     before they are shuffled; the shorter grams come from those counts.
     """
     full = _positions(examples, ["_accepted"]).groupBy("_g").agg(F.count(F.when(F.col("_accepted"), 1)).alias("a"), F.count(F.when(~F.col("_accepted"), 1)).alias("r"))
-    full = stage(full, "url-grams")
-    by_order = {ORDER: full.select(F.col("_g").alias("gram"), "a", "r")}
+    by_order = {ORDER: stage(full.select(F.col("_g").alias("gram"), "a", "r"), f"url-grams-{ORDER}")}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = by_order[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        shorter = by_order[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        by_order[k] = stage(shorter, f"url-grams-{k}")
     uniform, s = F.lit(1.0 / SYMBOLS), F.lit(float(strength))
     total = by_order[1].agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
     level = by_order[1].select("gram", *[((F.col(x) + s * uniform) / F.lit((total[x] or 0) + float(strength))).alias(f"p{x}") for x in "ar"])
@@ -92,25 +99,20 @@ def gram_scores(examples: DataFrame, strength: float = 4.0) -> DataFrame:
     for k in range(2, ORDER + 1):
         context = by_order[k].groupBy(F.expr(f"substring(gram, 1, {k - 1})").alias("ctx")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
         shorter = level.select(F.col("gram").alias("_short"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
-        level = (
-            by_order[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})")).withColumn("_short", F.expr(f"substring(gram, 2, {k - 1})"))
-            .join(F.broadcast(context), "ctx").join(F.broadcast(shorter), "_short")
-            .select("gram", *[((F.col(x) + s * F.col(f"q{x}")) / (F.col(f"c{x}") + s)).alias(f"p{x}") for x in "ar"])
-        )
+        rows = by_order[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})")).withColumn("_short", F.expr(f"substring(gram, 2, {k - 1})"))
+        level = rows.join(context, "ctx").join(small(shorter), "_short").select("gram", *[((F.col(x) + s * F.col(f"q{x}")) / (F.col(f"c{x}") + s)).alias(f"p{x}") for x in "ar"])
+        level = stage(level, f"url-level-{k}")
         levels.append(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("gram", F.round(F.log("pa") - F.log("pr"), 9).alias("ratio"))
+    return [stage(level.select("gram", F.round(F.log("pa") - F.log("pr"), 9).alias("ratio")), f"url-model-{k}") for k, level in enumerate(levels, 1)]
 
 
-def url_scores(df: DataFrame, key: str, model: DataFrame) -> DataFrame:
-    """(key, score): mean log ratio over a url's symbols.  The table's size has a fixed bound."""
+def url_scores(df: DataFrame, key: str, model: list[DataFrame]) -> DataFrame:
+    """(key, score): mean log ratio over a url's symbols."""
     at = _positions(df, [key])
     found = F.lit(0.0)
-    for k in range(1, ORDER + 1):
-        part = model.filter(F.length("gram") == k).select(F.col("gram").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}"))
-        at = at.withColumn(f"_g{k}", F.expr(f"right(_g, {k})")).join(F.broadcast(part), f"_g{k}", "left")
+    for k, grams in enumerate(model, 1):
+        part = grams.select(F.col("gram").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}"))
+        at = at.withColumn(f"_g{k}", F.expr(f"right(_g, {k})")).join(small(part), f"_g{k}", "left")
         found = F.coalesce(F.col(f"_r{k}"), found)
     return at.groupBy(key).agg(F.avg(found).alias("score"))
 
@@ -134,7 +136,7 @@ def judge_urls(pages: DataFrame, rules=RULES, strength: float = 4.0) -> DataFram
     base = base.withColumn("_accepted", verdict_of(F.col("rule"), rules) == "allow")
     examples = base.filter(F.col("rule").isNotNull()).select("_text", "_accepted")
     fold = F.crc32(F.col("_text").cast("binary")) % 5
-    model = stage(gram_scores(examples.filter(fold != 0), strength), "url-model")
+    model = gram_scores(examples.filter(fold != 0), strength)
     # Equal texts have equal scores, so a text is scored once; the calibration takes those held back.
     held = examples.filter(fold == 0).groupBy("_text").agg(F.max("_accepted").alias("_ok"))
     cut = calibrated(url_scores(held.select("_text"), "_text", model).join(held, "_text"))

@@ -192,7 +192,7 @@ def brute_urls(rows, strength=4.0):
         fits = [(len(r), r, v) for r, v in rules for h, p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[1:] if fits else (None, None)
         text = re.sub("[^a-z0./:?=&#%_-]", "*", re.sub("[0-9]", "0", (url or "").lower()))
-        text = "^^^" + text + "$" if text else ""
+        text = "^" * (urls.ORDER - 1) + text + "$" if text else ""
         out.append([page, host, path, rule, verdict, text])
         if rule:
             examples.append((text, verdict == "allow"))
@@ -201,8 +201,8 @@ def brute_urls(rows, strength=4.0):
     ctx = {True: defaultdict(int), False: defaultdict(int)}
     for t, a in examples:
         if zlib.crc32(t.encode()) % 5:
-            for i in range(3, len(t)):
-                for k in range(1, 5):
+            for i in range(urls.ORDER - 1, len(t)):
+                for k in range(1, urls.ORDER + 1):
                     counts[a][t[i - k + 1 : i + 1]] += 1
                     ctx[a][t[i - k + 1 : i]] += 1
 
@@ -212,13 +212,13 @@ def brute_urls(rows, strength=4.0):
 
     def score(t):
         total = 0.0
-        for i in range(3, len(t)):
-            for k in range(4, 0, -1):
+        for i in range(urls.ORDER - 1, len(t)):
+            for k in range(urls.ORDER, 0, -1):
                 g = t[i - k + 1 : i + 1]
                 if counts[True].get(g) or counts[False].get(g):
                     total += round(math.log(p(True, g)) - math.log(p(False, g)), 9)
                     break
-        return total / max(1, len(t) - 3)
+        return total / max(1, len(t) - urls.ORDER + 1)
 
     by_text = {}
     for t, a in held:
