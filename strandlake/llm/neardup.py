@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import U64, carried, fmix, grams, map_texts, slices, small_batches, stage, text_buffer, words_of
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
-BUCKET_BITS, FLOOR = 18, 2.0**-9
+BUCKET_BITS, FLOOR, IDF = 18, 2.0**-9, 0.25
 SHIP_BYTES, TURNS = 32 << 20, 2
 _DRAW_BITS, _LEVELS, _STEP = 11, 32, 0.15
 
@@ -110,7 +110,7 @@ def shares(documents: DataFrame) -> np.ndarray:
     documents_n = max(1, n.pop(-1, 0))
     share = np.full(1 << BUCKET_BITS, FLOOR)
     share[list(n.keys())] = np.clip(np.array(list(n.values()), float) / documents_n, FLOOR, 1.0)
-    return (1 + 0.25 * np.log(share) / np.log(FLOOR)).astype(np.float32)
+    return (1 + IDF * np.log(share) / np.log(FLOOR)).astype(np.float32)
 
 
 class Sampler:
