@@ -70,14 +70,17 @@ _GROUP_READS = """,
 gr AS (SELECT DISTINCT lk.id lead, k2i."set", k2i.id FROM lk JOIN k2i ON k2i.kmer = lk.kmer JOIN kr ON kr."set" = k2i."set" AND kr.kmer = k2i.kmer WHERE kr.reads <= 500)"""
 
 
-def group_kmers(last: int | None, multiply: bool) -> str:
+def _group_kmers(multiply: bool) -> str:
     times = "count(*) OVER (PARTITION BY lk.id, lk.kmer)" if multiply else "1"
     part = lambda name, s, op: f"CAST(coalesce(CASE WHEN {s}.reads {op} 500 THEN {s}.reads * {times} END, 0) AS BIGINT) {name}"
-    return f"""WITH {lead_kmers(last)}
-SELECT lk.id, dir, pos, lk.kmer, {part("kept_n", "x", "<=")}, {part("kept_t", "y", "<=")}, {part("dropped_n", "x", ">")}, {part("dropped_t", "y", ">")}
+    return f"""SELECT lk.id, dir, pos, lk.kmer, {part("kept_n", "x", "<=")}, {part("kept_t", "y", "<=")}, {part("dropped_n", "x", ">")}, {part("dropped_t", "y", ">")}
 FROM lk LEFT JOIN kr x ON x.kmer = lk.kmer AND x."set" = 'nn' LEFT JOIN kr y ON y.kmer = lk.kmer AND y."set" = 'tn'"""
 
 
+def group_kmers(last: int | None, multiply: bool) -> str:
+    return f"WITH {lead_kmers(last)} {_group_kmers(multiply)}"
+
+
 _STATS = f"""WITH {counts(16)},{_EVERY},
 h AS (SELECT root, CASE WHEN {rc("stem")} < stem THEN 1 ELSE 0 END o, n, t, CASE WHEN t >= 4 AND n <= 1 AND t_rc >= 1 AND n_rc <= 1 THEN 1 ELSE 0 END hit FROM paired),
 r AS (SELECT root, count(*) kmers, coalesce(sum(hit) FILTER (WHERE o = 0), 0) h0, coalesce(sum(hit) FILTER (WHERE o = 1), 0) h1,
@@ -136,6 +139,21 @@ SELECT kind, CAST(floor(log2(x)) AS INT) bin, CAST(pow(2, floor(log2(x))) AS BIG
 SELECT 'k2i', "set", count(DISTINCT kmer) FROM k2i GROUP BY "set" UNION ALL SELECT 'i2p', 'tm', count(DISTINCT id) FROM i2p""",
     "merge_partitions": f"""WITH {INDEXES} SELECT 'seq' "index", "set", id "key", seq "value" FROM seqs UNION ALL
 SELECT 'k2i', "set", kmer, id FROM k2i WHERE ("set", kmer) IN (SELECT ("set", kmer) FROM k2i GROUP BY ALL HAVING count(*) <= 2000) UNION ALL SELECT 'i2p', 'tm', id, dir || pos FROM i2p""",
+    "fastq_round_trip": f"WITH {RAW} SELECT id, kind, seq, qual FROM raw",
+    "plain_round_trip": f"""WITH {INDEXES} SELECT 'seq' "index", "set", id "key", seq "value" FROM seqs UNION ALL
+SELECT 'k2i', "set", kmer, id FROM k2i WHERE ("set", kmer) IN (SELECT ("set", kmer) FROM k2i GROUP BY ALL HAVING count(*) <= 2000) UNION ALL SELECT 'i2p', 'tm', id, dir || pos FROM i2p""",
+    "annotation_lines": f"""WITH {counts(16)},{km(16, "raw", "every")},
+a AS (SELECT id, string_agg(i || ':' || coalesce(c.n, 0) || ':' || coalesce(c.t, 0), ' ' ORDER BY i) kmers FROM every e LEFT JOIN c ON c.kmer = e.kmer WHERE e.root IN (SELECT root FROM c) GROUP BY id)
+SELECT raw.id, raw.seq, coalesce(kmers, '') kmers FROM raw LEFT JOIN a ON a.id = raw.id""",
+    "group_content": f"""WITH {lead_kmers(50)}{_GROUP_READS},
+p AS (SELECT id, any_value(seq) seq, coalesce(string_agg(pos, ' ' ORDER BY pos) FILTER (WHERE dir = 'a'), '') pos_a, coalesce(string_agg(pos, ' ' ORDER BY pos) FILTER (WHERE dir = 'b'), '') pos_b
+  FROM able SEMI JOIN led USING (id, dir) GROUP BY id),
+e AS ({_group_kmers(True)}),
+q AS (SELECT id, string_agg(kmer || ':' || kept_n || ':' || kept_t || ':' || dropped_n || ':' || dropped_t, ' ' ORDER BY pos) FILTER (WHERE dir = 'a') kmers_a,
+  string_agg(kmer || ':' || kept_n || ':' || kept_t || ':' || dropped_n || ':' || dropped_t, ' ' ORDER BY pos) FILTER (WHERE dir = 'b') kmers_b FROM e GROUP BY id),
+g AS (SELECT lead id, string_agg(gr.id || ':' || s.seq, ' ' ORDER BY gr.id) FILTER (WHERE gr."set" = 'nn') reads_n, string_agg(gr.id || ':' || s.seq, ' ' ORDER BY gr.id) FILTER (WHERE gr."set" = 'tn') reads_t
+  FROM gr JOIN seqs s ON s."set" = gr."set" AND s.id = gr.id GROUP BY lead)
+SELECT p.id, p.seq, pos_a, pos_b, coalesce(kmers_a, '') kmers_a, coalesce(kmers_b, '') kmers_b, coalesce(reads_n, '') reads_n, coalesce(reads_t, '') reads_t FROM p LEFT JOIN q USING (id) LEFT JOIN g USING (id)""",
     "to_fastq": f"""WITH {INDEXES} SELECT '@' || id || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('!', length(seq)) record, "set" FROM seqs WHERE "set" <> 'tm'""",
     "group_leads": f"WITH {LEADS} SELECT id, dir, string_agg(pos, ' ' ORDER BY pos) positions, any_value(seq) seq FROM able SEMI JOIN led USING (id, dir) GROUP BY id, dir",
     "group_leads_window": f"WITH {LEADS} SELECT id, dir FROM led",

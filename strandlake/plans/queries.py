@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import sequence as S
 from ..operators import count, filter as index, group, kmers, merge, prune
-from ..sources import derived
+from ..session import scratch
+from ..sources import derived, fastq, tables
 
 CFG = Config(k=16, max_normal_a=1, min_tumor_a=4, max_normal_b=1, min_tumor_b=1)
 DEFAULT_K = Config(k=30, max_normal_a=1, min_tumor_a=4, max_normal_b=1, min_tumor_b=1)
@@ -190,7 +191,11 @@ def merge_partitions(spark, d):
     reads, found = _candidates(spark, d)
     found = found.withColumn("part", merge.partition_of("root", 4))
     ix = index.indexes(reads, found, CFG, ("part",), keep=lambda df: df.persist())
-    ix = merge.merged([index.Indexes(ix.seq.drop("part"), ix.k2i.drop("part"), ix.i2p.drop("part"))], CFG)
+    return _rows_of(merge.merged([index.Indexes(ix.seq.drop("part"), ix.k2i.drop("part"), ix.i2p.drop("part"))], CFG))
+
+
+def _rows_of(ix: index.Indexes) -> DataFrame:
+    """(index, set, key, value) of all three indexes."""
     seq = ix.seq.select(F.lit("seq").alias("index"), "set", F.col("id").alias("key"), F.col("seq").alias("value"))
     by_kmer = ix.k2i.select(F.lit("k2i").alias("index"), "set", F.col("kmer").alias("key"), F.col("id").alias("value"))
     by_place = ix.i2p.select(F.lit("i2p").alias("index"), F.lit("tm").alias("set"), F.col("id").alias("key"), F.concat("dir", F.col("pos").cast("string")).alias("value"))
@@ -239,6 +244,42 @@ def group_count(spark, d):
     return group.group_count(_indexes(spark, d), CFG)
 
 
+def fastq_round_trip(spark, d):
+    """Reads written as FASTQ files and read by the data source."""
+    raw, parts = _raw(spark, d), []
+    for kind in (0, 1):
+        at = scratch(spark, f"reads-{kind}")
+        record = F.concat(F.lit("@"), "id", F.lit(" of the fixture\n"), "seq", F.lit("\n+\n"), "qual")
+        raw.filter(F.col("kind") == kind).select(record.alias("value")).write.text(at)
+        parts.append(fastq.fastq(spark, f"{at}/part-*").withColumn("kind", F.lit(kind)))
+    return parts[0].unionByName(parts[1]).select("id", "kind", "seq", "qual")
+
+
+def plain_round_trip(spark, d):
+    """The text forms of the indexes, written and read again: their rows."""
+    at = scratch(spark, "plain")
+    tables.write_plain(_indexes(spark, d), at, CFG.max_reads)
+    return _rows_of(tables.read_plain(spark, at))
+
+
+def annotation_lines(spark, d):
+    """The annotation's map of each read, as text in order of places."""
+    reads, table = kmers.quality_filtered(_raw(spark, d), check=False), _table(spark, d)
+    rows = tables.annotation(reads, lambda df, keep: count.annotated(df, table, CFG, keep))
+    entry = F.transform(F.map_entries("kmers"), lambda e: F.struct(e.key.cast("int").alias("at"), e.value.alias("v")))
+    text = F.transform(F.array_sort(entry), lambda e: F.concat_ws(":", e["at"].cast("string"), e["v"].cast("array<string>")))
+    return rows.select("id", "seq", F.concat_ws(" ", text).alias("kmers"))
+
+
+def group_content(spark, d):
+    """What the groups hold: places, k-mers with their counters, and reads."""
+    g = group.groups(_indexes(spark, d), CFG)
+    places = lambda c: F.concat_ws(" ", F.col(c).cast("array<string>")).alias(c)
+    kms = lambda c: F.concat_ws(" ", F.transform(c, lambda x: F.concat_ws(":", x.kmer, *[x[n].cast("string") for n in ("kept_n", "kept_t", "dropped_n", "dropped_t")]))).alias(c)
+    reads = lambda c: F.concat_ws(" ", F.transform(c, lambda x: F.concat_ws(":", x.id, x.seq))).alias(c)
+    return g.select("lead.id", "lead.seq", places("pos_a"), places("pos_b"), kms("kmers_a"), kms("kmers_b"), reads("reads_n"), reads("reads_t"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -246,5 +287,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         kmer_counts_nocache, kmer_counts_k30, repeated_roots, prune_semi_join, pruned_counts, stem_counts, prefiltered_roots, candidate_kmers, candidate_kmers_k30, export_range, annotate_kmers,
         count_stats, count_stats_distinct, count_histogram, index_seq, index_k2i, k2i_capped, index_i2p, i2p_bitmap, i2p_positions, filter_sizes, merge_partitions, to_fastq,
         group_leads, group_leads_window, group_kmers, group_kmers_rocks, group_reads, group_documents, group_sets, group_selection_stats, group_count,
+        fastq_round_trip, plain_round_trip, annotation_lines, group_content,
     )
 }

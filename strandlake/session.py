@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +28,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, removed with the application.
+
+    A folder of this machine stands in for it only where the executors are threads of it.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        spark.sparkContext.setCheckpointDir(top)
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
     """``df`` over all cores if it has fewer partitions than there are, or too few bytes for them.
 
