@@ -167,7 +167,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, extra: list[str] | Non
     items = benchmark.select("item_id", "text").filter(F.octet_length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = int(size // block_bytes) + 1
-    schema = _SCHEMA + "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in extra)
+    schema = _SCHEMA + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in extra)
 
     def one(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         shipped = spark.sparkContext.broadcast(Block([(r["item_id"], r["text"]) for r in chosen.collect()], window, k))
