@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, bounded_sample, carried, map_texts, oversampled, per_text, run_hashes, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies, words_of
+from .common import U64, WORD, bounded_sample, carried, map_texts, oversampled, per_text, run_hashes, runs, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies
 from .quality import labelled
 
-BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 3000, 8192, 5, 0.3
+BITS, LONGEST, SAMPLE, SAMPLE_BYTES, EVIDENCE, CUT = 18, 96, 2000, 4096, 5, 0.3
 HEADS = (4, 5, 6, 7)
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x0A, 0x21, 0x2E, 0x3F]] = True
@@ -45,15 +45,13 @@ class Tokens:
     """Words of some texts, their chains and hashed features."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, bits: int = BITS, longest: int = LONGEST):
-        h, self.starts, self.ends, self.at = words_of(raw, offsets)
-        self.offsets, n = offsets, len(h)
+        self.low = WORD[raw]
+        self.starts, self.ends = runs((self.low != 0).astype(np.uint8), offsets)
+        self.at, self.offsets, n = np.searchsorted(self.starts, offsets), offsets, len(self.starts)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.at))
-        low = WORD[raw]
-        keys = [h]
-        keys += [run_hashes(low, self.starts, np.minimum(self.ends, self.starts + p), p) for p in HEADS]
-        keys += [run_hashes(low, np.maximum(self.starts, self.ends - 4), self.ends, 7)]
-        self.marks = keys[: 1 + len(HEADS)]
-        self.features = np.stack([(k >> U64(64 - bits)).astype(np.int32) for k in keys])
+        self.features = np.empty((2 + len(HEADS), n), np.int32)
+        for i in range(len(self.features)):  # one kind at a time: a hash has twice a feature's size
+            self.features[i] = self.keys(i) >> U64(64 - bits)
         breaks = np.concatenate([[0], np.cumsum(_BREAK[raw])])[self.starts] if n else np.zeros(0, np.int64)
         new = np.ones(n, bool)
         new[1:] = (breaks[1:] != breaks[:-1]) | (self.text[1:] != self.text[:-1])
@@ -66,6 +64,14 @@ class Tokens:
         order = np.argsort(-length, kind="stable")
         self.begin, self.length = begin[order], length[order]
 
+    def keys(self, kind: int) -> np.ndarray:
+        """Hashes of each word (0), its beginnings (1 and on) or its end (the last)."""
+        if kind == 0:
+            return run_hashes(self.low, self.starts, self.ends)
+        if kind <= len(HEADS):
+            return run_hashes(self.low, self.starts, np.minimum(self.ends, self.starts + HEADS[kind - 1]), HEADS[kind - 1])
+        return run_hashes(self.low, np.maximum(self.starts, self.ends - 4), self.ends, 7)
+
 
 def forward_backward(e: np.ndarray, begin: np.ndarray, length: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of state 1 for each token, and summed marginals of state pairs.
@@ -170,7 +176,8 @@ def token_labels(x: Tokens, y: np.ndarray, evidence: int) -> np.ndarray:
     """1 for tokens of toxic texts that bear a mark of toxic texts."""
     out = np.zeros(len(x.text), np.int64)
     toxic = y[x.text] == 1
-    for keys in x.marks:
+    for kind in range(1 + len(HEADS)):
+        keys = x.keys(kind)
         order = np.lexsort((x.text, keys))
         k, t = keys[order], x.text[order]
         first = np.ones(len(k), bool)  # of a key in a text
