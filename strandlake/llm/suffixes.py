@@ -26,6 +26,12 @@ pairs.  Larger ones find a partner for each window by a rolling hash and check i
 by byte.  Groups beyond ``hot`` suffixes are not collected: their windows are counted
 by 128-bit hashes in a native aggregation with sums on the map side, and joined back.
 
+Passages.  400 bytes are more than the shortest passages of over 50 words.  Beside what it
+removes, the operator counts for each text the words in runs of ``WORDS`` words (as tokens,
+A-Z lower-cased) that another text or row has too: the anchors are then least hashes of 8
+words, the windows of anchors that several texts have are counted by 64-bit hashes, and
+nothing is removed for them.
+
 Scale.  Texts move only if the tables of anchors or spans that they meet are above
 ``SHIP_BYTES``; below it these are broadcast.  Long texts are hashed in segments.
 
@@ -44,9 +50,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fmix, map_texts, slices, small_batches, stage, text_buffer
+from .common import U64, fmix, map_texts, slices, small_batches, stage, text_buffer, words_of
 
 LENGTH, GRAM, HOT, PAIRS = 400, 32, 50_000, 12
+WORDS, WORD_GRAM = 51, 8
 SHIP_BYTES, RANGE_BYTES, RUN_ROWS = 32 << 20, 8 << 20, 50_000
 _SEGMENT = 1 << 19
 _PLACE = U64((1 << 24) - 1)
@@ -55,8 +62,8 @@ _STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF0
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hashes of all ``gram``-byte strings; ``gram`` is a power of two."""
-    h, size = _BYTES[raw], 1
+    """Hashes of all strings of ``gram`` bytes, or hashed words; ``gram`` is a power of two."""
+    h, size = _BYTES[raw] if raw.dtype == np.uint8 else raw, 1
     for m in _STEPS[: gram.bit_length() - 1]:
         h = h[: len(h) - size] * U64(m) + h[size:] if len(h) > size else h[:0]
         size *= 2
@@ -218,7 +225,7 @@ def _pairs(group: list[tuple[bytes, int, tuple]], length: int) -> list[list[tupl
 
 
 def _rolling(text: np.ndarray, length: int, m: int) -> np.ndarray:
-    """Hashes of all windows of ``length`` bytes, from sums of powers."""
+    """Hashes of all windows of ``length`` bytes, or hashed words, from sums of powers."""
     power = np.full(len(text) + 1, U64(m))
     power[0] = 1
     power = np.multiply.accumulate(power)
@@ -226,7 +233,7 @@ def _rolling(text: np.ndarray, length: int, m: int) -> np.ndarray:
     back = np.full(len(text) + 1, inverse)
     back[0] = 1
     back = np.multiply.accumulate(back)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTES[text] * power[:-1])])
+    total = np.concatenate([np.zeros(1, U64), np.cumsum((_BYTES[text] if text.dtype == np.uint8 else text) * power[:-1])])
     n = len(text) - length + 1
     return fmix((total[length:] - total[:n]) * back[:n])
 
@@ -313,20 +320,26 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _per_text(h: np.ndarray, at: np.ndarray, some: np.ndarray) -> pa.ListArray:
+    """The part of ``h`` of each of some texts; the others have none."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at)[some])]), pa.int32()), pa.array(h.view(np.int64)))
+
+
 def _anchor_table(documents: DataFrame, length: int) -> DataFrame:
-    """(doc_id, digest, hashes) of the texts that have windows."""
+    """(doc_id, digest, size, hashes, words): anchors of the texts that have windows, of bytes or words."""
 
     def work(batch: pa.RecordBatch) -> pa.Table:
         raw, offsets = text_buffer(batch["text"])
         place, h, _, _ = anchors(raw, offsets, length)
-        at = np.searchsorted(place, offsets)
+        word, _, _, word_at = words_of(raw, offsets)
+        word_place, word_h, _, _ = anchors(word, word_at, WORDS, WORD_GRAM)
         data = raw.tobytes()
-        some = np.flatnonzero(np.diff(offsets) >= length)
+        some = np.flatnonzero((np.diff(offsets) >= length) | (np.diff(word_at) >= WORDS))
         digests = [hashlib.md5(data[offsets[i] : offsets[i + 1]]).digest() for i in some]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at)[some])]), pa.int32()), pa.array(h.view(np.int64)))
-        return pa.Table.from_arrays([batch["doc_id"].cast(pa.int64()).take(pa.array(some)), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "hashes"])
+        lists = _per_text(h, np.searchsorted(place, offsets), some), _per_text(word_h, np.searchsorted(word_place, word_at), some)
+        return pa.Table.from_arrays([batch["doc_id"].cast(pa.int64()).take(pa.array(some)), pa.array(digests, pa.binary()), pa.array(np.diff(offsets)[some]), *lists], ["doc_id", "digest", "size", "hashes", "words"])
 
-    return map_texts(documents.select("doc_id", "text"), work, "doc_id long, digest binary, hashes array<long>")
+    return map_texts(documents.select("doc_id", "text"), work, "doc_id long, digest binary, size long, hashes array<long>, words array<long>")
 
 
 def _shippable(table: DataFrame, size) -> DataFrame:
@@ -403,26 +416,63 @@ def _hot_spans(candidates: DataFrame, length: int) -> DataFrame:
     return found.groupBy("digest").agg(F.transform(F.array_sort(F.collect_set("start")), lambda s: F.struct(s.alias("lo"), (s + length).alias("hi"))).alias("spans"))
 
 
+def _passages(texts: DataFrame, one_each: DataFrame, copies: DataFrame) -> DataFrame:
+    """(digest, passage): how many words of a text are in runs of ``WORDS`` words that another text has."""
+    each = one_each.select("digest", F.explode(F.array_distinct("words")).alias("h"))
+    again = stage(each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "words-again")
+    chosen = stage(each.join(_shippable(again, F.lit(16)), "h").groupBy("digest").agg(F.collect_list("h").alias("wanted")).join(copies, "digest", "left"), "words-chosen")
+    candidates = texts.join(_shippable(chosen, F.size("wanted") * 8 + 64), "digest").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
+
+    def work(batch: pa.RecordBatch) -> pa.Table:
+        raw, offsets = text_buffer(batch["text"])
+        word, _, _, word_at = words_of(raw, offsets)
+        place, h, lo, hi = anchors(word, word_at, WORDS, WORD_GRAM)
+        at = np.searchsorted(place, word_at)
+        owner, start, hashes = [], [], []
+        for d, wanted in enumerate(batch["wanted"]):
+            keep = np.flatnonzero(np.isin(h[at[d] : at[d + 1]], np.asarray(wanted.values).view(U64))) + at[d]
+            for a, z in zip(lo[keep].tolist(), hi[keep].tolist()):
+                hashes.append(_rolling(word[a : z + WORDS], WORDS, 0x5851F42D4C957F2D))
+                start.append(np.arange(a, z + 1) - word_at[d])
+                owner += [d] * (z - a + 1)
+        if not owner:
+            return None
+        return pa.Table.from_arrays([batch["key"].take(pa.array(owner)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["key", "start", "hash"])
+
+    key = F.xxhash64("digest").alias("key")
+    windows = stage(map_texts(candidates.select("text", key, "wanted"), work, "key long, start int, hash long"), "words-windows")
+    # Shared windows grow with the input: they are met in a shuffle at every size.
+    shared = windows.groupBy("hash").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("hash")
+    found = windows.join(shared, "hash").groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("s")).join(chosen.select("digest", key), "key")
+    more = F.expr(f"aggregate(sequence(1, size(s) - 1), 0L, (n, i) -> n + least({WORDS}, s[i] - s[i - 1]))")
+    return found.select("digest", (F.lit(WORDS) + F.when(F.size("s") > 1, more).otherwise(0)).cast("long").alias("passage"))
+
+
 _SPANS = "array<struct<lo: bigint, hi: bigint>>"
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(digest, spans): repeated strings of each text that has some; spans may overlap."""
+    """(digest, spans, passage): repeated strings of each text that has some; spans may overlap.
+
+    ``passage`` is the number of words in passages that repeat, -1 if the whole text does.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     table = stage(_anchor_table(documents, length), "anchors")
-    copies = stage(table.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "copies")
-    many = copies if copies.count() * 64 > SHIP_BYTES else F.broadcast(copies)  # else the texts of a large group meet in one task
+    copies = stage(table.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("size").alias("size")).filter("n > 1"), "copies")
+    groups = copies.drop("size")
+    many = groups if groups.count() * 64 > SHIP_BYTES else F.broadcast(groups)  # else the texts of a large group meet in one task
     one_each = table.join(many, "digest", "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
     each = one_each.select("digest", F.explode("hashes").alias("h"))
     again = stage(each.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "again")
     per_text = each.distinct().join(again, "h").groupBy("digest").agg(
         F.collect_list(F.when(F.col("m") <= hot, F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("m") > hot, F.col("h"))).alias("hot")
     )
-    chosen = stage(per_text.join(copies, "digest", "left"), "chosen")
+    chosen = stage(per_text.join(groups, "digest", "left"), "chosen")
     size = chosen.agg(F.sum(F.size("cold")).alias("cold"), F.sum(F.size("hot")).alias("hot")).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size["cold"] or 0) * 600 // RANGE_BYTES) + 1)
-    texts = documents.filter(F.octet_length("text") >= length).select("doc_id", "text", _digest().alias("digest"))
+    texts = documents.filter(F.octet_length("text") >= min(length, 2 * WORDS - 1)).select("doc_id", "text", _digest().alias("digest"))
+    passages = _passages(texts, one_each, groups)
     candidates = texts.join(_shippable(chosen, F.size("cold") * 8 + F.size("hot") * 8 + 64), "digest")
     candidates = candidates.filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("least")))
 
@@ -437,17 +487,20 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
     found = _runs(candidates, ranges, length).groupBy("part").applyInArrow(merge, f"digest binary, spans {_SPANS}")
     if size["hot"]:
         found = found.unionByName(_hot_spans(candidates, length))
-    whole = copies.select("digest", F.expr("array(struct(0L as lo, 9223372036854775807L as hi))").alias("spans"))
-    return stage(found.unionByName(whole).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    whole = F.when(F.col("size") >= length, F.expr("array(struct(0L as lo, 9223372036854775807L as hi))"))
+    every = found.withColumn("passage", F.lit(0).cast("long")).unionByName(copies.select("digest", whole.alias("spans"), F.lit(-1).cast("long").alias("passage")))
+    every = every.unionByName(passages.select("digest", F.lit(None).cast(_SPANS).alias("spans"), "passage"))
+    least = F.min("passage")  # -1 goes before any count
+    return stage(every.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.when(least < 0, least).otherwise(F.max("passage")).alias("passage")), "spans")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``documents``."""
-    found = _shippable(repeated_spans(documents, length, hot), F.size("spans") * 16 + 64)
-    rows = documents.select("doc_id", "text", _digest().alias("digest")).join(found, "digest", "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept) for each row of ``documents``."""
+    found = _shippable(repeated_spans(documents, length, hot), F.size("spans") * 16 + 72)
+    rows = documents.select("doc_id", "text", _digest().alias("digest")).join(found, "digest", "left").select("doc_id", "text", "spans", "passage")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"]
 
-    def one(text: str | None, spans: list[dict] | None) -> tuple:
+    def one(text: str | None, spans: list[dict] | None, passage: int | None) -> tuple:
         raw = (text or "").encode()
         gone = union([(s["lo"], min(s["hi"], len(raw))) for s in spans or ()])
         parts, at = [], 0
@@ -455,12 +508,15 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT)
             parts.append(raw[at:lo])
             at = hi
         kept = b"".join([*parts, raw[at:]])
-        return len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept
+        if passage == -1:
+            n = len(words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+            passage = n if n >= WORDS else 0
+        return len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), passage or 0, kept
 
     def work(batch: pa.RecordBatch) -> pa.Table:
-        out = [one(t.as_py(), s.as_py()) for t, s in zip(batch["text"], batch["spans"])]
-        columns = list(zip(*out)) if out else [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        out = [one(t.as_py(), s.as_py(), p.as_py()) for t, s, p in zip(batch["text"], batch["spans"], batch["passage"])]
+        columns = list(zip(*out)) if out else [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         return pa.Table.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
-    return map_texts(rows, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_texts(rows, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
