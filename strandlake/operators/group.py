@@ -8,12 +8,15 @@ in several processes, each forms the groups of its own leaders.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import sequence as S
-from .filter import Indexes
+from . import runs
+from .filter import FEW_KNOWN, Indexes, set_of
+from .kmers import key, text
 from .merge import partition_of
 
 
@@ -24,6 +27,10 @@ def own_leads(rows: DataFrame, cfg: Config) -> DataFrame:
 
 def positions(ix: Indexes, cfg: Config) -> DataFrame:
     """(id, dir, positions, seq) of i2p reads with a sequence, positions ascending."""
+    if ix.by_read is not None:
+        rows = own_leads(ix.by_read.filter("kind = 1 and id is not null"), cfg)
+        sides = F.array(*[F.struct(F.lit(d).alias("dir"), F.col(d).alias("positions")) for d in "ab"])
+        return rows.select("id", F.explode(sides).alias("x"), "seq").select("id", "x.dir", "x.positions", "seq").filter(F.size("positions") > 0)
     rows = own_leads(ix.i2p, cfg).groupBy("id", "dir").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
     return rows.join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id")
 
@@ -38,9 +45,13 @@ def leads_by_window(ix: Indexes, cfg: Config) -> DataFrame:
     """The same leaders by a window function over places: (id, dir)."""
     from pyspark.sql import Window
 
-    able = own_leads(ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id"), cfg)
     order = Window.partitionBy("id", "dir").orderBy("pos")
-    ahead = ix.i2p.join(able, "id").withColumn("ahead", F.lead("pos", cfg.window_min - 1).over(order))
+    if ix.by_read is not None:
+        placed = positions(ix, cfg).filter(S.leads_possible(F.col("seq"))).select("id", "dir", F.explode("positions").alias("pos"))
+    else:
+        able = own_leads(ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id"), cfg)
+        placed = ix.i2p.join(able, "id")
+    ahead = placed.withColumn("ahead", F.lead("pos", cfg.window_min - 1).over(order))
     return ahead.filter(F.col("ahead") - F.col("pos") < cfg.window_len).select("id", "dir").distinct()
 
 
@@ -53,7 +64,10 @@ def lead_kmers(lead: DataFrame, cfg: Config, last: int | None = 50) -> DataFrame
 
 def kmer_reads(ix: Indexes, cfg: Config) -> DataFrame:
     """(set, kmer, reads): reads of each k-mer under the filter's cap."""
-    return ix.k2i.groupBy("set", "kmer").agg(F.count("*").alias("reads")).filter(F.col("reads") <= cfg.max_reads)
+    if ix.by_read is None:
+        return ix.k2i.groupBy("set", "kmer").agg(F.count("*").alias("reads")).filter(F.col("reads") <= cfg.max_reads)
+    rows = ix.by_read.select("kind", F.explode("keys").alias("key")).groupBy("kind", "key").agg(F.count("*").alias("reads")).filter(F.col("reads") <= cfg.max_reads)
+    return rows.select(set_of(F.col("kind")).alias("set"), text(F.col("key"), cfg.k, cfg.k).alias("kmer"), "reads")
 
 
 def kmer_table(ix: Indexes, cfg: Config, last: int | None = 50, per_entry: bool = False) -> DataFrame:
@@ -78,9 +92,31 @@ def kmer_table(ix: Indexes, cfg: Config, last: int | None = 50, per_entry: bool
     return met.select("id", "dir", "pos", "kmer", *[f(c).cast("long").alias(f"{n}_{c}") for n, f in (("kept", kept), ("dropped", dropped)) for c in "nt"])
 
 
+def _members(reads: DataFrame, rows: DataFrame, cfg: Config) -> DataFrame:
+    """(lead, kind, id), distinct, of leaders' k-mers (lead, kmer) and reads' keys.
+
+    The keys that leaders have and that are under both caps are looked up in the reads' lists, so only
+    what belongs to a group is shuffled; too many of them are joined.
+    """
+    of_leads = rows.select("lead", key(F.col("kmer"), cfg.k).alias("key"))
+    entries = reads.select("kind", F.explode("keys").alias("key"), "id")
+    few_ = entries.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") <= min(cfg.max_reads, cfg.max_group_reads))
+    wanted = few_.join(of_leads.select("key").distinct(), "key", "left_semi").select("kind", "key")
+    found = wanted.select((2 * F.col("key") + F.col("kind")).alias("x")).limit(FEW_KNOWN + 1).toArrow()
+    if len(found) <= FEW_KNOWN:
+        entries = runs.holding(reads, np.sort(found.column(0).to_numpy()))
+    else:
+        entries = entries.join(wanted, ["kind", "key"], "left_semi")
+    return entries.join(of_leads, "key").select("lead", "kind", "id").distinct()
+
+
 def read_table(ix: Indexes, cfg: Config, last: int | None = 50) -> DataFrame:
     """(lead, set, id, seq): distinct reads of each leader's group."""
     rows = lead_kmers(leads(ix, cfg), cfg, last).select(F.col("id").alias("lead"), "kmer").distinct()
+    if ix.by_read is not None:
+        members = _members(ix.by_read, rows, cfg)
+        seqs = ix.by_read.filter("id is not null").select("kind", "id", "seq")
+        return members.join(seqs, ["kind", "id"]).select("lead", set_of(F.col("kind")).alias("set"), "id", "seq")
     few = kmer_reads(ix, cfg).filter(F.col("reads") <= cfg.max_group_reads).select("set", "kmer")
     # Reads are cut down to the leaders' k-mers before they meet the leaders.
     members = ix.k2i.join(few, ["set", "kmer"], "left_semi").join(rows, "kmer").select("lead", "set", "id").distinct()
@@ -116,9 +152,13 @@ def sets(ix: Indexes, cfg: Config, last: int | None = None) -> DataFrame:
 
 def selection_stats(ix: Indexes, cfg: Config) -> DataFrame:
     """One row: iterated, existing, mapped, match_a, match_b."""
-    rows = ix.i2p.groupBy("id", "dir").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
-    match = lambda d: F.max(F.when(F.col("dir") == d, S.dense(F.col("positions"), cfg.window_min, cfg.window_len).cast("int")).otherwise(0))
-    per_read = rows.groupBy("id").agg(match("a").alias("a"), match("b").alias("b")).join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id", "left")
+    hit = lambda c: S.dense(F.col(c), cfg.window_min, cfg.window_len).cast("int")
+    if ix.by_read is not None:
+        per_read = ix.by_read.filter("kind = 1 and size(a) + size(b) > 0").select("id", hit("a").alias("a"), hit("b").alias("b"), F.when(F.col("id").isNotNull(), F.col("seq")).alias("seq"))
+    else:
+        rows = ix.i2p.groupBy("id", "dir").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+        match = lambda d: F.max(F.when(F.col("dir") == d, hit("positions")).otherwise(0))
+        per_read = rows.groupBy("id").agg(match("a").alias("a"), match("b").alias("b")).join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id", "left")
     exists, mapped = F.col("seq").isNotNull(), F.coalesce(S.leads_possible(F.col("seq")), F.lit(False))
     if cfg.num_partitions > 1:  # every process looks at all reads and maps its own
         mapped = mapped & (partition_of("id", cfg.num_partitions) == cfg.pid)
