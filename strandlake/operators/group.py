@@ -9,14 +9,15 @@ in several processes, each forms the groups of its own leaders.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import sequence as S
+from ..session import give_back
 from . import runs
 from .filter import FEW_KNOWN, Indexes, set_of
-from .kmers import key, text
+from .kmers import text
 from .merge import partition_of
 
 
@@ -35,8 +36,22 @@ def positions(ix: Indexes, cfg: Config) -> DataFrame:
     return rows.join(ix.seq.filter("set = 'tm'").select("id", "seq"), "id")
 
 
+def _led(ix: Indexes, cfg: Config) -> DataFrame:
+    """(id, seq, a, b) of leaders from rows of reads; a direction that leads to nothing is empty.  Read several times."""
+    name = ("led", cfg)
+    if name not in ix.made:
+        rows = own_leads(ix.by_read.filter("kind = 1 and id is not null"), cfg).filter(S.leads_possible(F.col("seq")))
+        side = lambda d: F.when(S.dense(F.col(d), cfg.window_min, cfg.window_len), F.col(d)).otherwise(F.array().cast("array<int>"))
+        ix.made[name] = rows.select("id", "seq", *[side(d).alias(d) for d in "ab"]).filter("size(a) + size(b) > 0").persist()
+    return ix.made[name]
+
+
 def leads(ix: Indexes, cfg: Config) -> DataFrame:
     """(id, dir, positions, seq) of the directions that make their read a leader."""
+    if ix.by_read is not None:
+        sides = F.array(*[F.struct(F.lit(d).alias("dir"), F.col(d).alias("positions")) for d in "ab"])
+        rows = _led(ix, cfg).select("id", F.explode(sides).alias("x"), "seq")
+        return rows.select("id", "x.dir", "x.positions", "seq").filter(F.size("positions") > 0)
     rows = positions(ix, cfg).filter(S.leads_possible(F.col("seq")))
     return rows.filter(S.dense(F.col("positions"), cfg.window_min, cfg.window_len))
 
@@ -76,6 +91,10 @@ def kmer_table(ix: Indexes, cfg: Config, last: int | None = 50, per_entry: bool
     A k-mer's counters add up over its occurrences in both directions of the leader, or
     stand for each entry alone with ``per_entry``.
     """
+    known = None if ix.by_read is None else _known(ix, cfg, last)
+    if known is not None:
+        met = runs.entries(_led(ix, cfg), cfg.k, last, known).withColumn("kmer", text(F.col("key"), cfg.k, cfg.k))
+        return _counters(met, cfg, F.lit(1).cast("long") if per_entry else F.col("times"))
     rows = lead_kmers(leads(ix, cfg), cfg, last)
     reads = kmer_reads(ix, cfg)
     wanted = reads.join(rows.select("kmer").distinct(), "kmer", "left_semi")
@@ -87,34 +106,57 @@ def kmer_table(ix: Indexes, cfg: Config, last: int | None = 50, per_entry: bool
         seen = rows.groupBy("id", "kmer").agg(F.count("*").alias("times"))
         met = met.join(seen, ["id", "kmer"])
         times = F.col("times")
+    return _counters(met, cfg, times)
+
+
+def _counters(met: DataFrame, cfg: Config, times: Column) -> DataFrame:
     kept = lambda c: F.when(F.col(c) <= cfg.max_group_reads, F.col(c) * times).otherwise(0)
     dropped = lambda c: F.when(F.col(c) > cfg.max_group_reads, F.col(c) * times).otherwise(0)
     return met.select("id", "dir", "pos", "kmer", *[f(c).cast("long").alias(f"{n}_{c}") for n, f in (("kept", kept), ("dropped", dropped)) for c in "nt"])
 
 
-def _members(reads: DataFrame, rows: DataFrame, cfg: Config) -> DataFrame:
-    """(lead, kind, id), distinct, of leaders' k-mers (lead, kmer) and reads' keys.
+def _known(ix: Indexes, cfg: Config, last: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The leaders' keys, ascending, and the reads of both kinds that hold them, 0 above the filter's cap.
 
-    The keys that leaders have and that are under both caps are looked up in the reads' lists, so only
-    what belongs to a group is shuffled; too many of them are joined.
+    None if there are too many keys for arrays, or if ids that are shared put places outside of their
+    sequence.  The reads' lists are gone through once; only counters are shuffled.
     """
-    of_leads = rows.select("lead", key(F.col("kmer"), cfg.k).alias("key"))
-    entries = reads.select("kind", F.explode("keys").alias("key"), "id")
-    few_ = entries.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") <= min(cfg.max_reads, cfg.max_group_reads))
-    wanted = few_.join(of_leads.select("key").distinct(), "key", "left_semi").select("kind", "key")
-    found = wanted.select((2 * F.col("key") + F.col("kind")).alias("x")).limit(FEW_KNOWN + 1).toArrow()
-    if len(found) <= FEW_KNOWN:
-        entries = runs.holding(reads, np.sort(found.column(0).to_numpy()))
-    else:
-        entries = entries.join(wanted, ["kind", "key"], "left_semi")
-    return entries.join(of_leads, "key").select("lead", "kind", "id").distinct()
+    name = ("known", cfg, last)
+    if name not in ix.made:
+        led = _led(ix, cfg)
+        reach = F.greatest(F.coalesce(F.array_max("a"), F.lit(0)), F.coalesce(F.array_max("b"), F.lit(0)))
+        keys = runs.entries(led, cfg.k, last).select("key").distinct().limit(FEW_KNOWN + 1).toArrow().column(0).to_numpy()
+        if len(keys) > FEW_KNOWN or not led.filter(reach + cfg.k > F.length("seq")).isEmpty():
+            ix.made[name] = None
+        else:
+            keys, counters = np.sort(keys), np.zeros((len(keys), 2), np.int64)
+            if len(keys):
+                of = runs.counted(ix.by_read, keys).toArrow()
+                counters[of.column("nth").to_numpy(), of.column("kind").to_numpy()] = of.column("n").to_numpy()
+            counters[counters > cfg.max_reads] = 0
+            ix.made[name] = keys, counters
+            give_back(led.sparkSession)
+    return ix.made[name]
+
+
+def _members(ix: Indexes, known: tuple[np.ndarray, np.ndarray], cfg: Config, last: int | None) -> DataFrame:
+    """(lead, kind, id), distinct: reads that hold a leader's k-mer which is under both caps.
+
+    Keys are looked up in the reads' lists, so only what belongs to a group is shuffled.
+    """
+    keys, counters = known
+    under = (counters > 0) & (counters <= cfg.max_group_reads)
+    held = runs.holding(ix.by_read, np.sort(np.concatenate([2 * keys[under[:, kind]] + kind for kind in (0, 1)])))
+    of_leads = runs.entries(_led(ix, cfg), cfg.k, last).select(F.col("id").alias("lead"), "key").distinct()
+    return held.join(of_leads, "key").select("lead", "kind", "id").distinct()
 
 
 def read_table(ix: Indexes, cfg: Config, last: int | None = 50) -> DataFrame:
     """(lead, set, id, seq): distinct reads of each leader's group."""
     rows = lead_kmers(leads(ix, cfg), cfg, last).select(F.col("id").alias("lead"), "kmer").distinct()
-    if ix.by_read is not None:
-        members = _members(ix.by_read, rows, cfg)
+    known = None if ix.by_read is None else _known(ix, cfg, last)
+    if known is not None:
+        members = _members(ix, known, cfg, last)
         seqs = ix.by_read.filter("id is not null").select("kind", "id", "seq")
         return members.join(seqs, ["kind", "id"]).select("lead", set_of(F.col("kind")).alias("set"), "id", "seq")
     few = kmer_reads(ix, cfg).filter(F.col("reads") <= cfg.max_group_reads).select("set", "kmer")
