@@ -67,3 +67,11 @@ def test_leaders_are_found_without_a_shuffle(rows):
     for made in (group.leads(ix, CFG), ix.seq, ix.k2i, ix.i2p):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert group.leads_by_window(ix, CFG)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_a_read_s_partitions_are_united_before_the_shuffle(rows):
+    """Before, each partition's row of a read was shuffled, with its sequence."""
+    df = rows(reads(False), SCHEMA)
+    united, _ = merge.merged_reads(index.indexes(df, found(df), CFG, ("part",)), CFG)
+    plan = united._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow unite" in plan[plan.index("Exchange hashpartitioning") :]
