@@ -37,12 +37,13 @@ def positions(ix: Indexes, cfg: Config) -> DataFrame:
 
 
 def _led(ix: Indexes, cfg: Config) -> DataFrame:
-    """(id, seq, a, b) of leaders from rows of reads; a direction that leads to nothing is empty.  Read several times."""
+    """(id, seq, a, b) of leaders from rows of reads; a direction that leads to nothing is empty.  Kept, as it is read several times, unless the rows are for one reader."""
     name = ("led", cfg)
     if name not in ix.made:
         rows = own_leads(ix.by_read.filter("kind = 1 and id is not null"), cfg).filter(S.leads_possible(F.col("seq")))
         side = lambda d: F.when(S.dense(F.col(d), cfg.window_min, cfg.window_len), F.col(d)).otherwise(F.array().cast("array<int>"))
-        ix.made[name] = rows.select("id", "seq", *[side(d).alias(d) for d in "ab"]).filter("size(a) + size(b) > 0").persist()
+        found = rows.select("id", "seq", *[side(d).alias(d) for d in "ab"]).filter("size(a) + size(b) > 0")
+        ix.made[name] = found if ix.once else found.persist()
     return ix.made[name]
 
 
@@ -57,15 +58,19 @@ def leads(ix: Indexes, cfg: Config) -> DataFrame:
 
 
 def leads_by_window(ix: Indexes, cfg: Config) -> DataFrame:
-    """The same leaders by a window function over places: (id, dir)."""
+    """The same leaders by a window over places: (id, dir).
+
+    From rows of reads, whose places are together and in order, the window is a shift of the places
+    of many reads at once; else a window function, by a shuffle of all places.
+    """
+    if ix.by_read is not None:
+        rows = own_leads(ix.by_read.filter("kind = 1 and id is not null"), cfg).filter(S.leads_possible(F.col("seq")))
+        return runs.windowed(rows, cfg.window_min, cfg.window_len)
     from pyspark.sql import Window
 
     order = Window.partitionBy("id", "dir").orderBy("pos")
-    if ix.by_read is not None:
-        placed = positions(ix, cfg).filter(S.leads_possible(F.col("seq"))).select("id", "dir", F.explode("positions").alias("pos"))
-    else:
-        able = own_leads(ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id"), cfg)
-        placed = ix.i2p.join(able, "id")
+    able = own_leads(ix.seq.filter("set = 'tm'").filter(S.leads_possible(F.col("seq"))).select("id"), cfg)
+    placed = ix.i2p.join(able, "id")
     ahead = placed.withColumn("ahead", F.lead("pos", cfg.window_min - 1).over(order))
     return ahead.filter(F.col("ahead") - F.col("pos") < cfg.window_len).select("id", "dir").distinct()
 
