@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, ship
+from ..session import scratch, ship, spare_driver
 
 U64 = np.uint64
 
@@ -26,8 +26,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts lineage in a way that survives lost executors, and gives the planner
-    the true size of the table.  The files go when the application ends.
+    the true size of the table.  The files go when the application ends.  Garbage of the
+    stages before is collected if there is much of it on the driver.
     """
+    spare_driver(df.sparkSession)
     at = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import trim
 from .common import U64, WORD, bounded_sample, carried, map_texts, oversampled, per_text, run_hashes, runs, sigmoid, slices, small_batches, split_of, text_buffer, without_near_copies
 from .quality import labelled
 
@@ -227,8 +228,12 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 def fitted(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, evidence: int = EVIDENCE) -> Field:
     """The field of a sample of the labelled texts."""
     sample, counts = bounded_sample(labelled(labels, "toxic", 4, 2), documents, most, most_bytes)
-    y = [r["label"] for r in sample]
-    return fit([r["text"] for r in sample], y, evidence=evidence, excess=oversampled(y, counts))
+    y, texts = [r["label"] for r in sample], [r["text"] for r in sample]
+    del sample
+    field = fit(texts, y, evidence=evidence, excess=oversampled(y, counts))
+    del texts
+    trim()  # the driver would hold what fitting took until the application ends
+    return field
 
 
 def scored(documents: DataFrame, field: Field, extra: list[str]) -> DataFrame:
